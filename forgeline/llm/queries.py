@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from forgeline.llm import encode, lookalike, mixing
+from forgeline.llm import encode, lookalike, mixing, syntax
 from forgeline.session import table
 
 
+def p2_found(spark, sf_dir):
+    return syntax.broken_files(table(spark, sf_dir, "code_chunks")).select("file_id")
+
+
+def p2_rates(spark, sf_dir):
+    return syntax.failure_rates(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "parse_results"))
+
+
 def p6_ids(spark, sf_dir):
     return encode.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
