@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forgeline.llm import encode, lookalike, mixing, syntax
+from forgeline.llm import encode, lookalike, mixing, origin, syntax
 from forgeline.session import table
 
 
@@ -14,6 +14,14 @@ def p2_rates(spark, sf_dir):
     return syntax.failure_rates(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "parse_results"))
 
 
+def p4_found(spark, sf_dir):
+    return p4_kinds(spark, sf_dir).select("file_id")
+
+
+def p4_kinds(spark, sf_dir):
+    return origin.foreign_files(table(spark, sf_dir, "code_chunks"))
+
+
 def p6_ids(spark, sf_dir):
     return encode.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
