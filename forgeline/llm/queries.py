@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forgeline.llm import encode, lookalike, mixing, origin, syntax
+from forgeline.llm import encode, lookalike, mixing, origin, secrets, syntax
 from forgeline.session import table
 
 
@@ -22,6 +22,15 @@ def p4_kinds(spark, sf_dir):
     return origin.foreign_files(table(spark, sf_dir, "code_chunks"))
 
 
+def p5_found(spark, sf_dir):
+    return secrets.secret_lines(table(spark, sf_dir, "code_chunks"))
+
+
+def p5_redacted(spark, sf_dir):
+    files = table(spark, sf_dir, "code_chunks").select("file_id", "file_path", "source_code")
+    return secrets.redact_secrets(files).select("file_id", "redacted_code")
+
+
 def p6_ids(spark, sf_dir):
     return encode.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
