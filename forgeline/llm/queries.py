@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from forgeline.llm import encode, lookalike, mixing, origin, secrets, syntax
+from forgeline.llm import encode, lookalike, mixing, origin, pairs, secrets, syntax
 from forgeline.session import table
 
 
+def p1_found(spark, sf_dir):
+    return pairs.broken_pairs(table(spark, sf_dir, "query_responses"))
+
+
 def p2_found(spark, sf_dir):
     return syntax.broken_files(table(spark, sf_dir, "code_chunks")).select("file_id")
 
