@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from forgeline.session import materialize
+
 # Letters of other scripts with the shape of a Latin letter or of a mark, in the order of the code points.
 GREEK = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ι": "ı", "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j"}
 CYRILLIC = {
@@ -118,6 +120,7 @@ def lookalike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         .withColumn("form", _per_distinct(look_of)(F.col("t")))
         .select("d", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("t")).alias("own"))
     )
+    rows = materialize(rows, "forms")  # read twice below
     # the least and the greatest digest tell whether a form has more than one text, by a map-side aggregate
     several = rows.groupBy("form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter(F.col("lo") != F.col("hi")).select("form")
     kept = rows.join(several, "form", "left_semi").distinct()
