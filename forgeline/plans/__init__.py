@@ -1,8 +1,8 @@
 """Query catalogue of the core: name -> (spark, sf_dir) -> DataFrame, and the same as SQL."""
 
-from forgeline.plans import hierarchy
+from forgeline.plans import graphs, hierarchy, search
 
-MODULES = [hierarchy]
+MODULES = [hierarchy, search, graphs]
 
 
 def queries() -> dict:
