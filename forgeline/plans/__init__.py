@@ -1,8 +1,8 @@
 """Query catalogue of the core: name -> (spark, sf_dir) -> DataFrame, and the same as SQL."""
 
-from forgeline.plans import catalogue, graphs, hierarchy, search
+from forgeline.plans import catalogue, graphs, hierarchy, pipelines, search
 
-MODULES = [hierarchy, search, graphs, catalogue]
+MODULES = [hierarchy, search, graphs, catalogue, pipelines]
 
 
 def queries() -> dict:
