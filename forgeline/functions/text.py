@@ -46,9 +46,10 @@ def language_label(language: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     """``1.5 KB`` and the like; null and negative sizes are not calculated."""
-    unit = F.least(F.lit(3), F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1)).cast("double")) + 1e-12)).cast("int")
-    scaled = F.format_number(n / F.pow(F.lit(1024.0), unit), 1)
-    return F.when(n.isNull() | (n < 0), "Not calculated").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.regexp_replace(scaled, ",", ""), F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), unit + 1)))
+    unit = F.least(F.lit(3), F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1024.0)) + 1e-12)).cast("int")
+    scaled = F.regexp_replace(F.format_number(n / F.pow(F.lit(1024.0), unit), 1), ",", "")
+    name = F.get(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), unit)
+    return F.when(n.isNull() | (n < 0), "Not calculated").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat_ws(" ", scaled, name))
 
 
 def clean_path(path: Column) -> Column:

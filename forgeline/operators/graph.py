@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeline.functions.text import base_name, clean_path, path_extension, path_prefixes, path_stem
-from forgeline.session import materialize, materialize_counted
+from forgeline.session import materialize, materialize_counted, read_together
 
 # Relationships with an inverse, and the kinds of nodes that symbols become.
 INVERSES = {"IMPORTS": "IMPORTED_BY", "CALLS": "CALLED_BY", "CONTAINS": "DEFINED_IN"}
@@ -127,10 +125,10 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, i
         if not n:
             break
         step = frontier.join(steps, "node_id").select("start", F.col("neighbour").alias("node_id")).distinct()
-        fresh = step.join(reduce(DataFrame.union, seen).select("start", "node_id"), ["start", "node_id"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        fresh = step.join(read_together(seen).select("start", "node_id"), ["start", "node_id"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
         frontier, n = materialize_counted(fresh, "reach")
         seen.append(frontier)
-    return reduce(DataFrame.union, seen).filter("depth > 0")
+    return read_together(seen).filter("depth > 0")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, relationships: list[str] | None = None, max_depth: int = DEPTH_LIMIT) -> DataFrame:
@@ -146,18 +144,16 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, relationships: list[str]
     wanted = materialize(pairs.select("source", "target").filter("source is not null and target is not null").distinct(), "pairs")
     first = wanted.select("source").distinct().select("source", F.col("source").alias("at"), F.array().cast("array<string>").alias("turns"), F.array("source").alias("path"))
     frontier, n = materialize_counted(first, "front")
-    seen, found = [frontier], [frontier]
+    found = [frontier]
     for _ in range(max_depth):
         if not n:
             break
         step = frontier.join(steps, "at").select("source", "to", F.concat("turns", F.array("turn")).alias("turns"), F.concat("path", F.array("to")).alias("path"))
         best = step.groupBy("source", F.col("to").alias("at")).agg(F.min(F.struct("turns", "path")).alias("b"))
-        known = reduce(DataFrame.union, [x.select("source", "at") for x in seen])
-        fresh = best.join(known, ["source", "at"], "left_anti").select("source", "at", "b.turns", "b.path")
+        fresh = best.join(read_together(found).select("source", "at"), ["source", "at"], "left_anti").select("source", "at", "b.turns", "b.path")
         frontier, n = materialize_counted(fresh, "front")
-        seen.append(frontier)
         found.append(frontier)
-    hits = reduce(DataFrame.union, found).select("source", F.col("at").alias("target"), "path")
+    hits = read_together(found).select("source", F.col("at").alias("target"), "path")
     return wanted.join(hits, ["source", "target"]).select("source", "target", (F.size("path") - 1).cast("long").alias("hops"), "path")
 
 

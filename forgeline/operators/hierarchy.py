@@ -8,12 +8,10 @@ walk whose stride doubles ends on the cycle for every such node, and below it th
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeline.session import materialize, materialize_counted
+from forgeline.session import materialize, materialize_counted, read_together
 
 TREE, ON_CYCLE, BELOW_CYCLE = "tree", "on_cycle", "below_cycle"
 SEPARATOR = " > "
@@ -71,11 +69,11 @@ def _levels(edges: DataFrame, frontier: DataFrame, n_frontier: int, n_edges: int
         levels.append(level)
         reached += n_level
         used += n_level
-        since.append(level.select("id"))
+        since.append(level)
         lowest = len(levels[1:]) * length
         frontier = level.filter(F.col("depth") == lowest)
         if 2 * used >= n_edges and used < n_edges:
-            hops = materialize(hops.join(reduce(DataFrame.union, since), "id", "left_anti"), "hops")
+            hops = materialize(hops.join(read_together(since).select("id"), "id", "left_anti"), "hops")
             n_edges, used, since = n_edges - used, 0, []
     return levels, reached
 
@@ -96,12 +94,11 @@ def _cycles(rest: DataFrame, n_rest: int) -> DataFrame:
 
 def _resolve(df: DataFrame, node: str, parent: str, name: str, levels_per_join: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Rows of trees; nodes on cycles; nodes below cycles (the last two are None where all is reached)."""
-    spark = df.sparkSession
     edges, n_nodes = _edges(df, node, parent, name)
     start = edges.filter(F.col("parent").isNull()).select("id", F.col("id").alias("top"), F.lit(0).cast("long").alias("depth"), F.col("name").alias("path"), F.array().cast("array<string>").alias("anc"))
     roots, n_roots = materialize_counted(start, "level")
     levels, reached = _levels(edges.filter(F.col("parent").isNotNull()), roots, n_roots, n_nodes - n_roots, levels_per_join)
-    tree = reduce(DataFrame.union, levels) if len(levels) == 1 else spark.read.schema(start.schema).parquet(*[f for x in levels for f in _paths(x)])
+    tree = read_together(levels)
     if reached == n_nodes:
         return tree, None, None
     rest, n_rest = materialize_counted(edges.join(tree.select("id"), "id", "left_anti"), "rest")
@@ -109,14 +106,10 @@ def _resolve(df: DataFrame, node: str, parent: str, name: str, levels_per_join:
     head = cycle.select("id", "top", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("path"), F.array().cast("array<string>").alias("anc"))
     hanging = rest.join(cycle.select("id"), "id", "left_anti")
     below, _ = _levels(hanging, head, n_cycle, n_rest - n_cycle, levels_per_join)
-    under = spark.read.schema(start.schema).parquet(*[f for x in below[1:] for f in _paths(x)]) if len(below) > 1 else head.limit(0)
+    under = read_together(below[1:]) if len(below) > 1 else head.limit(0)
     return tree, cycle, under
 
 
-def _paths(written: DataFrame) -> list[str]:
-    return sorted({f.rsplit("/", 1)[0] for f in written.inputFiles()})
-
-
 def _under_tree(rows: DataFrame) -> DataFrame:
     """Ancestor pairs within trees; ``distance`` counts the steps between the two."""
     return rows.select(F.col("id").alias("node"), F.size("anc").alias("k"), F.posexplode("anc").alias("at", "ancestor")).select("ancestor", "node", (F.col("k") - F.col("at")).cast("long").alias("distance"))

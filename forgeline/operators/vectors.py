@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +28,17 @@ def similarity(distance: Column) -> Column:
 
 
 def _packed(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
-    """Blocks ``ids, size, data`` of the non-null vectors."""
+    """Blocks ``ids, size, data`` of the non-null vectors, each of vectors of one length."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                part = whole.slice(at, rows)
-                matrix = np.asarray(part.column(1).flatten(), dtype=np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([len(matrix) // part.num_rows], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "size", "data"]
-                )
+            sizes = pc.list_value_length(whole.column(1))
+            for size in pc.unique(sizes).to_pylist():
+                alike = whole.filter(pc.equal(sizes, size))
+                for at in range(0, alike.num_rows, rows):
+                    part = alike.slice(at, rows)
+                    data = np.asarray(part.column(1).flatten(), dtype=np.float64).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([size], pa.int32()), pa.array([data], pa.binary())], names=["ids", "size", "data"])
 
     kept = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long"), F.col(vector))
     return kept.mapInArrow(pack, "ids array<long>, size int, data binary")

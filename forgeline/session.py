@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "forgeline", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,7 +64,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _read(spark, df.schema, [path])
+
+
+def _read(spark: SparkSession, schema: StructType, paths: list[str]) -> DataFrame:
+    out = spark.read.schema(schema).parquet(*paths)
+    out.written_to = paths
+    return out
+
+
+def read_together(tables: list[DataFrame]) -> DataFrame:
+    """All rows of materialized tables of one schema as a single scan, however many they are."""
+    return _read(tables[0].sparkSession, tables[0].schema, [p for t in tables for p in t.written_to])
 
 
 def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:

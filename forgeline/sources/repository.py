@@ -17,7 +17,7 @@ def listed_files(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNO
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     plain = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    inner = F.substring_index(plain, F.lit(base.split("://")[-1].rstrip("/") + "/"), -1)
+    inner = F.substring_index(plain, base.split("://")[-1].rstrip("/") + "/", -1)
     listed = rows.select(inner.alias("file_path"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"), F.col("path").alias("_path"))
     directories = F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0)))
     return listed.filter(~F.arrays_overlap(directories, F.array(*map(F.lit, ignored))))
@@ -36,7 +36,7 @@ def read_sources(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, ign
     listing, so larger files are never read; bytes that are no UTF-8 become U+FFFD."""
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).filter(F.col("length") <= max_bytes)
-    inner = F.substring_index(F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/"), F.lit(base.split("://")[-1].rstrip("/") + "/"), -1)
+    inner = F.substring_index(F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/"), base.split("://")[-1].rstrip("/") + "/", -1)
     named = rows.select(inner.alias("file_path"), F.col("length").alias("n_bytes"), "content")
     parts = F.split("file_path", "/")
     kept = named.filter(~F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, ignored))))
