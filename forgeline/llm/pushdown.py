@@ -308,6 +308,7 @@ FP: < > TG FP
 FB: : > Ty FB
 FB: ; > .
 FB: NL > .
+FB: =} > .
 CH: implements > Ty CI
 CH: < > TG CH
 CI: , > Ty CI
