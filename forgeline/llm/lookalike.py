@@ -111,7 +111,8 @@ def lookalike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """All pairs ``doc_id_a < doc_id_b`` of different texts with one look.
 
     Only 128-bit digests of text and form are shuffled. Forms with a single distinct text, which are nearly all,
-    drop out before any pair is made, and equal texts are never paired with each other. Null ids, null texts and
+    drop out before any pair is made. Pairs are made of texts and then carried over to their documents, so a text with
+    very many copies costs no more than the rows it gives. Null ids, null texts and
     empty texts are in no pair; a repeated row counts once; a text that only looks empty is compared like any other.
     """
     rows = (
@@ -123,7 +124,10 @@ def lookalike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = materialize(rows, "forms")  # read twice below
     # the least and the greatest digest tell whether a form has more than one text, by a map-side aggregate
     several = rows.groupBy("form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter(F.col("lo") != F.col("hi")).select("form")
-    kept = rows.join(several, "form", "left_semi").distinct()
-    other = kept.select("form", F.col("d").alias("d2"), F.col("own").alias("own2"))
-    pairs = kept.join(other, "form").filter((F.col("d") < F.col("d2")) & (F.col("own") != F.col("own2")))
-    return pairs.select(F.col("d").alias("doc_id_a"), F.col("d2").alias("doc_id_b"))
+    kept = materialize(rows.join(several, "form", "left_semi").distinct(), "kept")
+    # pairs of different texts first, then the documents of either text: no two copies of a text ever meet
+    texts = kept.select("form", "own").distinct()
+    unlike = texts.join(texts.select("form", F.col("own").alias("own2")), "form").filter(F.col("own") < F.col("own2")).select("own", "own2")
+    first = unlike.join(kept.select("own", "d"), "own").select("own2", "d")
+    both = first.join(kept.select(F.col("own").alias("own2"), F.col("d").alias("d2")), "own2").filter(F.col("d") != F.col("d2"))
+    return both.select(F.least("d", "d2").alias("doc_id_a"), F.greatest("d", "d2").alias("doc_id_b"))
