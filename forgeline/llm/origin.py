@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from forgeline.llm.syntax import LANGUAGES, extension
-from forgeline.session import materialize
+from forgeline.session import materialize, read_together
 
 # Phrases by which tools mark their output, in English and the other languages of the corpus.
 GENERATED = re.compile(
@@ -132,16 +132,16 @@ def shared_subtrees(files: DataFrame, depth: int = 24) -> DataFrame:
     steps = F.split("path", "/")
     at = files.select("repo", F.least(F.size(steps) - 1, F.lit(depth)).alias("depth"), F.slice(steps, 1, F.least(F.size(steps) - 1, F.lit(depth))).alias("dir"), "hash")
     deepest = at.agg(F.max("depth").alias("d")).first()["d"] or 0
-    level, out = None, None
+    levels: list[DataFrame] = []
     for d in range(deepest, 0, -1):
         here = at.filter(F.col("depth") == d).select("repo", "dir", "hash")
-        if level is not None:
-            here = here.unionByName(level.select("repo", F.slice("dir", 1, d).alias("dir"), "hash"))
-        level = here.groupBy("repo", "dir").agg(F.xxhash64(F.bit_xor(F.xxhash64("hash")), F.count(F.lit(1))).alias("hash"))
-        found = level.select("repo", F.array_join("dir", "/").alias("dir"), "hash")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+        if levels:
+            here = here.unionByName(levels[-1].select("repo", F.slice("dir", 1, d).alias("dir"), "hash"))
+        # each level is written once, as the next one and the search for shared hashes both read it
+        levels.append(materialize(here.groupBy("repo", "dir").agg(F.xxhash64(F.bit_xor(F.xxhash64("hash")), F.count(F.lit(1))).alias("hash")), "level"))
+    if not levels:
         return files.select("repo", F.col("path").alias("dir")).limit(0)
+    out = read_together(levels).select("repo", F.array_join("dir", "/").alias("dir"), "hash")
     return out.join(_in_several(out, "hash"), "hash", "left_semi").select("repo", "dir").distinct()
 
 
