@@ -24,6 +24,7 @@ DIM = 1 << 15
 #: Pair features lie below this position, n-grams above; the heads named here judge by pair features alone.
 PAIR = 1 << 12
 PAIR_ONLY = ("copied", "language")
+LIMITS = (-2.0, 0.25)
 
 # Frequent function words by language.
 STOPWORDS = {
@@ -39,15 +40,16 @@ REFUSALS = {
     "fr": ["Désolé, je ne peux pas répondre à cette question", "Malheureusement, je ne suis pas autorisé à en parler", "Je suis désolé, mais je ne peux pas vous aider", "Je n'ai pas assez d'éléments pour répondre", "Je ne dispose pas des informations nécessaires", "Je dois refuser cette demande", "Désolé, je ne suis pas en mesure de répondre", "Malheureusement, je ne peux pas donner cette information"],
     "es": ["Lo siento, no puedo responder a esa pregunta", "Por desgracia, no estoy autorizado a dar esa información", "No tengo datos suficientes para contestar", "Lo siento, pero no puedo ayudar con eso", "No dispongo de información para responder", "Debo rechazar esta solicitud", "Por desgracia, no puedo contestar", "Lo siento, no estoy autorizado a responder"],
 }
-REFUSAL_ENDS = ["", ".", ".", ".", " for this repository.", " without further access.", ", as no matching source was retrieved.", ". Is there anything else you would like to know?", ". Please rephrase the question.", ". Merci de reformuler la question.", ". Bitte stelle die Frage anders.", ". Intenta formular la pregunta de otro modo."]
+REFUSAL_ENDS = ["", ".", ".", ".", " for this repository.", " without further access.", " because of the policy.", " from the given context.", ". You may want to ask someone else.", ", as no matching source was retrieved.", ". Is there anything else you would like to know?", ". Please rephrase the question.", ". Merci de reformuler la question.", ". Bitte stelle die Frage anders.", ". Intenta formular la pregunta de otro modo."]
 REFUSAL_STARTS = ["", "", "", "Hello! ", "Thank you for the question. ", "As an assistant for this workspace, ", "Unfortunately, "]
 # Sentences that use the words of refusals about something else.
 NOT_REFUSALS = ["Sorry for the confusion earlier: {x} lives in {p}.", "It is unable to reach {x}, so it retries 5 times.", 'The message "I can\'t answer that" is a constant in {p}.', 'The handler cannot open the file and prints "Sorry, try again later".', "Unfortunately the name is misleading: {x} only reads the index.", "The user cannot delete {x} unless the lock is free.", "Leider ist der Name irreführend: {x} liest nur den Index.", 'Die Meldung "Leider kann ich das nicht beantworten" steht in {p}.', "Malheureusement, le nom est trompeur : {x} lit seulement l'index.", "Por desgracia, el nombre engaña: {x} solo lee el índice.", "{x} refuses requests without a token.", "The job declines new work when the queue is full."]
 FRAMES = ["{q}", "{q}", "You asked: {q}", "Q: {q}", "Question: {q}\nAnswer: {q}", "**{q}**", "> {q}", '"{q}"', "{q}\n{q}", "{u}", "{l}", "{t}", "{w}", "{t}.", "{t}...", "Your question: {q}", "Frage: {q}", "Pregunta: {q}"]
-FRAME_WORDS = frozenset("you asked q question answer a your is was the frage antwort question réponse pregunta respuesta sie haben gefragt ihre deine vous avez demandé has preguntado su query prompt".split())
+FRAME_WORDS = frozenset("you asked q question answer a your is was the frage antwort question réponse pregunta respuesta sie haben gefragt ihre deine vous avez demandé has preguntado su query prompt want wanted to know would like wissen wollen möchten voulez savoir quieres quiere saber here again".split())
 EMPTIES = ["", " ", "\n\n", "​", "﻿", " ", "\t \r\n", "<p></p>", "<br/>\n", "```\n```", '""', "Answer:", "**Answer:**", "<div> </div>", "---", "&nbsp;", "Antwort:", "Réponse :", "Respuesta:", "# Answer\n", "``", "''", "⁠‍", "[]", "{}"]
 LABELS = re.compile(r"\b(?:answer|response|reply|antwort|réponse|respuesta|assistant|output|result)\b\s*:?", re.I)
 NUMBER_WORDS = {w: n for n, ws in {2: "two zwei deux dos", 3: "three drei trois tres", 4: "four vier quatre cuatro", 5: "five fünf cinq cinco", 6: "six sechs six seis"}.items() for w in ws.split()}
+_LOCATES = re.compile(r"\.\w{1,5}[`'\"]?(?:,|:| at| in| on| an| à| en)? ?(?:(?:lines?|zeilen?|lignes?|líneas?|l\.) ?)?\d+(?: ?(?:-|–|to|bis|à|a) ?\d+)?$|^(?:lines?|zeilen?|lignes?|líneas?) \d+$", re.I)
 _COUNTED = re.compile(r"\b(" + "|".join(NUMBER_WORDS) + r"|[2-9])\s+(?:steps?|parts?|places?|points?|reasons?|files?|ways?|things?|schritte?|teile|stellen|punkte|gründe|étapes?|parties|endroits|points?|raisons?|pasos|partes|lugares|puntos|razones)\b", re.I)
 _LANGUAGE_NAMES = {"en": "english|englisch|anglais|inglés", "de": "german|deutsch|allemand|alemán", "fr": "french|französisch|français|francés", "es": "spanish|spanisch|espagnol|español"}
 _ASKED = {k: re.compile(r"\b(?:in|auf|en|into|ins)\s+(?:" + v + r")\b|\b(?:" + v + r")\b\W*(?:please|bitte|por favor)?\W*$", re.I) for k, v in _LANGUAGE_NAMES.items()}
@@ -111,6 +113,8 @@ def tail_flags(answer: str) -> dict[str, float]:
     elif not open_fence:
         if last.endswith(":"):
             f["announces"] = 1
+        elif _LOCATES.search(last):
+            f["locates"] = 1
         elif not closed:
             kind = "word" if re.search(r"[^\W\d]$", last) else "digit" if last[-1:].isdigit() else "tick" if last.endswith("`") else "paren" if last.endswith(")") else "mark"
             path = bool(re.search(r"\.\w{1,4}$", last))
@@ -143,7 +147,7 @@ def pair_features(query: str | None, answer: str | None) -> dict[str, float]:
     left = squeezed.replace(asked, "") if asked else squeezed
     f["novel_none"] = float(not novel and len(words) > 2)
     f["novel_share"] = len(novel) / max(1, len(words))
-    f["copy_whole"] = float(bool(asked) and asked in squeezed and len(left) <= 12)
+    f["copy_whole"] = float(bool(asked) and asked in squeezed and len(left) <= 24 and not novel)
     f["copy_part"] = float(len(squeezed) >= 12 and squeezed in asked)
     f["copy"] = float(bool(f["novel_none"] or f["copy_whole"] or f["copy_part"]))
     f["copy_then_more"] = float(bool(asked) and asked in squeezed and len(left) > 12 and bool(novel))
@@ -153,13 +157,15 @@ def pair_features(query: str | None, answer: str | None) -> dict[str, float]:
     if lead_a > 0 and own > 1 and (wanted or lead_q > 0):
         differs = la != (wanted or lq)
         f["language_differs"] = float(differs)
-        f["language_differs_well"] = float(differs and lead_a >= 3)
         f["language_agrees"] = float(not differs)
     first = _spoken(a)
     f["length"] = min(1.0, len(first) / 60)
     pairs = list(zip(first, first[1:]))[:14]
     share = sum(b in _REFUSAL_PAIRS for b in pairs) / max(4, len(pairs))
+    opening = [b in _REFUSAL_PAIRS for b in pairs[:8]]
     f["refusing"] = share
+    f["refusing_run"] = float(any(x and y for x, y in zip(opening, opening[1:])))
+    f["refusing_opening"] = float(sum(opening) >= 3)
     f["refusing_well"] = float(share >= 0.4)
     f["refusing_only"] = float(share >= 0.3 and len(first) <= 40)
     for i, w in enumerate(first[:24]):
@@ -191,7 +197,7 @@ def _cut(rng: random.Random, answer: str) -> str | None:
         k = answer.index(" ", k)
     out = answer[:k].rstrip()
     flags = tail_flags(out)
-    whole = {"closed", "item_whole", "number_whole", "count_met"} & flags.keys() and not {"open_fence", "count_short"} & flags.keys()
+    whole = {"closed", "locates", "item_whole", "number_whole", "count_met"} & flags.keys() and not {"open_fence", "count_short"} & flags.keys()
     return None if whole or not re.search(r"\w{3}", out) or "_only" in " ".join(flags) and len(out.split()) <= 3 else out
 
 
@@ -276,7 +282,8 @@ def train(sample: list[tuple[str, str]], seed: int = 5, epochs: int = 3) -> tupl
 
 
 def _threshold(scores: np.ndarray, truth: np.ndarray) -> float:
-    """The middle of the range of thresholds with the best F1."""
+    """A threshold with the best F1, in the lower half of the gap between the last hit and the next score, as real
+    defects are milder than made ones; within bounds, as undetected defects of the sample blur the calibration."""
     if not truth.any():
         return np.inf
     order = np.argsort(-scores)
@@ -284,7 +291,7 @@ def _threshold(scores: np.ndarray, truth: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(scores) + 1) + truth.sum())
     k = int(np.argmax(f1))
     low = scores[order[k + 1]] if k + 1 < len(scores) else scores[order[k]] - 1
-    return float((scores[order[k]] + low) / 2)
+    return float(np.clip(low + (scores[order[k]] - low) / 4, *LIMITS))
 
 
 def defect_of(model: tuple[np.ndarray, np.ndarray], query: str | None, answer: str | None) -> str | None:

@@ -55,6 +55,7 @@ _COMMENT = re.compile(r"(?:^|\s)(?://|\#|/\*|\*|--|<!--)(?=[\s\w!])(.*)$")
 _BEFORE = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\]]?\s*(?::\s*[\w.<>\[\]| ]+?\s*)?(?:=|:|=>|:=|\|\||\?\?|\bor\b)\s*(?:[\w.$]*\(\s*|[bru]{0,2})?$")
 _ARGUMENT = re.compile(r"[\"']([\w.-]+)[\"']\s*[,:]\s*(?:[\w.$]*\(\s*)?$")
 _PAIR = re.compile(r"\b(auth|credentials?|login|basic_auth)\s*[=:]\s*[(\[{]\s*[\"'][^\"']*[\"']\s*,\s*$", re.I)
+_SAID_HASH = re.compile(r"[^\n]*?(?:#|//|/\*)[^\n]*\b(?:checksum|hash|digest|sha-?\d+|md5|commit|revision|trace|fingerprint|etag)\b", re.I)
 _DECODED = re.compile(r"(?:b64decode|atob|base64_decode|fromBase64|Buffer\.from|decodebytes|b64_decode)\s*\(\s*[bru]?$", re.I)
 _ENTRY = re.compile(r"\s*(?:-\s+)?(?:export\s+|set\s+)?[\"']?([A-Za-z_/][\w./:@-]*?)[\"']?\s*(?:=|:(?=\s|$)|\s(?=\S+$))\s*(.*?)\s*,?\s*$")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
@@ -173,7 +174,7 @@ def _spans(source: str, config: bool, words: Segmenter) -> Iterator[tuple[int, i
                 plain = _plain(value)
                 if plain and is_secret(plain, "password", words):
                     yield m.start(2), end - 1
-            elif kind != "other" and is_secret(value, kind, words):
+            elif kind != "other" and is_secret(value, kind, words) and not (HASH_FORMAT.fullmatch(value) and _SAID_HASH.match(source, end)):
                 yield m.start(2), end - 1
     at = 0
     for line in source.split("\n"):
