@@ -204,3 +204,18 @@ def induced_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges with both ends among the nodes."""
     ids = nodes.select("node_id").distinct()
     return edges.join(ids, edges["source"] == ids["node_id"], "left_semi").join(ids, edges["target"] == ids["node_id"], "left_semi")
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node_id, n_out, n_in`` of each node, counted map-side."""
+    ends = edges.select(F.col("source").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("target", F.lit(0), F.lit(1)))
+    n = ends.groupBy("node_id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+    return nodes.select("node_id").distinct().join(n, "node_id", "left").select("node_id", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
+
+
+def highlighted(edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """``node_id`` of the selected nodes and of all that are one step away in either direction."""
+    s = selected.select("node_id").distinct()
+    out = edges.join(s, edges["source"] == s["node_id"]).select(F.col("target").alias("n"))
+    back = edges.join(s, edges["target"] == s["node_id"]).select(F.col("source").alias("n"))
+    return s.select(F.col("node_id").alias("n")).union(out).union(back).distinct().withColumnRenamed("n", "node_id")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from forgeline.functions import text as T
-from forgeline.operators import analytics, catalog
+from forgeline.operators import analytics, catalog, records
 from forgeline.session import table
 
 
@@ -109,11 +109,32 @@ def path_safety(spark, sf_dir):
     return table(spark, sf_dir, "code_chunks").filter("file_id is not null").select("file_id", T.is_safe_path(p).alias("safe"), T.is_protected_path(p).alias("protected"), T.language_label(F.col("language")).alias("label")).distinct()
 
 
+def inspection_manifest(spark, sf_dir):
+    """Path and hash of the files that may be shown: not protected and at most a mebibyte."""
+    c = table(spark, sf_dir, "code_chunks").filter("file_id is not null and source_code is not null")
+    shown = c.filter(~T.is_protected_path(F.col("file_path")) & (F.octet_length("source_code") <= 1 << 20))
+    return shown.select("file_id", F.concat(T.clean_path(F.col("file_path")), F.lit(" sha256="), F.sha2("source_code", 256)).alias("entry")).distinct()
+
+
+def storage_roundtrip(spark, sf_dir):
+    """The chunks as vector records, flattened for storage and read back."""
+    c = table(spark, sf_dir, "code_chunks").filter("file_id is not null")
+    meta = F.map_from_entries(F.array(F.struct(F.lit("checksum").alias("k"), F.coalesce("checksum", F.lit("none")).alias("v")), F.struct(F.lit("code").alias("k"), F.lit("other").alias("v"))))
+    r = c.select("chunk_id", "file_id", "repository_id", "file_path", "language", "symbol_type", "symbol_name", F.when(F.col("start_line") >= 0, F.col("start_line")).alias("start_line"), F.when(F.col("end_line") >= 0, F.col("end_line")).alias("end_line"), F.col("source_code").alias("code"), meta.alias("metadata"))
+    back = records.from_storage(records.to_storage(r))
+    return back.select("file_id", "chunk_id", "symbol_type", "symbol_name", "start_line", "end_line", F.length("code").alias("n_chars"), F.col("metadata")["checksum"].alias("checksum"), F.size("metadata").alias("n_keys")).distinct()
+
+
+def document_embeddings(spark, sf_dir):
+    d, _ = records.blank_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return d.select("doc_id", records.hashed_embedding()(F.col("text")).alias("embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         language_distribution, language_rollup, chunk_statistics, storage_breakdown, commit_activity, latest_event, event_properties, file_tree, line_search, text_contains, token_estimate, chunk_keys,
-        latest_chunks, files_page, files_catalogue, repository_counters, repository_status, repository_identity, recent_responses, citations, response_usage, path_safety,
+        latest_chunks, files_page, files_catalogue, repository_counters, repository_status, repository_identity, recent_responses, citations, response_usage, path_safety, inspection_manifest, storage_roundtrip, document_embeddings,
     )
 }
 
@@ -128,6 +149,8 @@ _NAMED = f"SELECT c.repository_id, r.repository_name, c.file_id, c.file_path, {_
 _URL = "^(?:https?://|git@|ssh://git@)?(?:www\\.)?([\\w.-]+)[/:]([\\w.-]+)/([\\w.-]+?)(?:\\.git)?/?$"
 
 SQL = {
+    "inspection_manifest": f"SELECT DISTINCT file_id, {_CLEAN} || ' sha256=' || sha256(source_code) AS entry FROM code_chunks WHERE file_id IS NOT NULL AND source_code IS NOT NULL AND strlen(source_code) <= 1048576 AND NOT regexp_matches(lower({_CLEAN}), '(?:^|/)(?:\\.env[^/]*|credentials[^/]*|secrets[^/]*|[^/]*\\.(?:pem|key))$|(?:^|/)\\.git/')",
+    "storage_roundtrip": "SELECT DISTINCT file_id, chunk_id, nullif(symbol_type, '') AS symbol_type, nullif(symbol_name, '') AS symbol_name, CASE WHEN start_line >= 0 THEN start_line END AS start_line, CASE WHEN end_line >= 0 THEN end_line END AS end_line, length(source_code) AS n_chars, coalesce(checksum, 'none') AS checksum, 1 AS n_keys FROM code_chunks WHERE file_id IS NOT NULL",
     "language_distribution": f"{_FILES} SELECT {_LANG.format(c='language')} AS language, count(*) AS n_files, round(count(*) / (SELECT count(*) FROM f) * 100, 6) AS percentage FROM f GROUP BY 1",
     "language_rollup": f"{_FILES} SELECT repository, language, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM (SELECT coalesce(repository_id, -1) AS repository, {_LANG.format(c='language')} AS language, n_chars FROM f) GROUP BY ROLLUP (repository, language)",
     "chunk_statistics": f"{_FILES} SELECT repository_id, count(*) AS n_files, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(n_bytes) AS BIGINT) AS source_bytes, round(avg(n_bytes), 6) AS average_bytes, CAST(max(n_bytes) AS BIGINT) AS longest_file FROM f GROUP BY repository_id",

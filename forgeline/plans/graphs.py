@@ -76,7 +76,17 @@ def graph_last_definitions(spark, sf_dir):
     return graph.resolve_calls(calls, symbols.withColumnRenamed("name", "symbol_name").withColumn("start_line", F.coalesce("start_line", F.lit(0))))
 
 
-QUERIES = {f.__name__: f for f in (graph_file_nodes, graph_file_edges, graph_relationships, graph_imports, graph_summary, graph_components, graph_descendants, graph_ancestors, graph_paths, graph_subgraph, graph_last_definitions)}
+def graph_degrees(spark, sf_dir):
+    nodes, edges = _given(spark, sf_dir)
+    return graph.degrees(nodes, graph.with_inverses(edges))
+
+
+def graph_highlight(spark, sf_dir):
+    nodes, edges = _given(spark, sf_dir)
+    return graph.highlighted(edges, nodes.filter("node_type = 'class'"))
+
+
+QUERIES = {f.__name__: f for f in (graph_file_nodes, graph_file_edges, graph_relationships, graph_imports, graph_summary, graph_components, graph_descendants, graph_ancestors, graph_paths, graph_subgraph, graph_last_definitions, graph_degrees, graph_highlight)}
 
 _CLEAN = "regexp_replace(replace(file_path, '\\', '/'), '^(\\./)+', '')"
 _FILES = f"""
@@ -110,6 +120,8 @@ SELECT start, node_id, CAST(min(depth) AS BIGINT) AS depth FROM r WHERE node_id
 _PARTS = ", both_ways AS (SELECT source AS a, target AS b FROM c UNION SELECT target, source FROM c), w AS (SELECT node_id, node_id AS other FROM n UNION SELECT w.node_id, both_ways.b FROM w JOIN both_ways ON both_ways.a = w.other), parts AS (SELECT node_id, min(other) AS component FROM w GROUP BY node_id)"
 
 SQL = {
+    "graph_degrees": f"WITH {_GIVEN} SELECT node_id, CAST(coalesce(o, 0) + coalesce(i, 0) AS BIGINT) AS n_out, CAST(coalesce(o, 0) + coalesce(i, 0) AS BIGINT) AS n_in FROM n LEFT JOIN (SELECT source, count(*) AS o FROM c GROUP BY 1) ON source = node_id LEFT JOIN (SELECT target, count(*) AS i FROM c GROUP BY 1) ON target = node_id",
+    "graph_highlight": f"WITH {_GIVEN}, s AS (SELECT node_id FROM n WHERE node_type = 'class') SELECT node_id FROM s UNION SELECT target FROM c WHERE source IN (SELECT node_id FROM s) UNION SELECT source FROM c WHERE target IN (SELECT node_id FROM s)",
     "graph_file_nodes": f"WITH {_FILES} SELECT * FROM n",
     "graph_file_edges": f"WITH {_FILES} SELECT * FROM e",
     "graph_relationships": f"WITH {_FILES} SELECT relationship, count(*) AS n_edges FROM e GROUP BY relationship",
