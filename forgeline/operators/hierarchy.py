@@ -115,7 +115,7 @@ def _under_tree(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("node"), F.size("anc").alias("k"), F.posexplode("anc").alias("at", "ancestor")).select("ancestor", "node", (F.col("k") - F.col("at")).cast("long").alias("distance"))
 
 
-def resolve_hierarchy(df: DataFrame, node: str = "node_id", parent: str = "parent_node_id", name: str = "name", levels_per_join: int = 16) -> DataFrame:
+def resolve_hierarchy(df: DataFrame, node: str = "node_id", parent: str = "parent_node_id", name: str = "name", levels_per_join: int = 8) -> DataFrame:
     """One row a node: ``node_id, root_node_id, depth, node_path, n_descendants, state``.
 
     A parent that is null, empty or not a node makes a root. Repeated ids count once (the least parent and name
@@ -140,7 +140,7 @@ def resolve_hierarchy(df: DataFrame, node: str = "node_id", parent: str = "paren
     )
 
 
-def descendants(df: DataFrame, node: str = "node_id", parent: str = "parent_node_id", name: str = "name", levels_per_join: int = 16) -> DataFrame:
+def descendants(df: DataFrame, node: str = "node_id", parent: str = "parent_node_id", name: str = "name", levels_per_join: int = 8) -> DataFrame:
     """All pairs ``ancestor_id, node_id`` of different nodes where parents lead from the node to the ancestor.
 
     The cases of :func:`resolve_hierarchy` hold. Every node of a cycle is above all others of its component.
