@@ -1,12 +1,14 @@
 """Exact nearest neighbours for a set of query vectors, in blocks.
 
 Vectors and queries are packed into blocks of bounded size, one row each; a task multiplies one block of vectors
-with one of queries and keeps the k nearest of each query, so that k rows a query and block are shuffled and no
-task holds more than two blocks, however large either side is.
+with one of queries and keeps the k nearest of each query over all its blocks. Vectors are spread over as many parts as
+there are shuffle partitions and queries are copied to each part, so no task holds more than two blocks and a bounded
+number of nearest lists, however large either side is.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VECTORS_AT_ONCE, QUERIES_AT_ONCE = 4096, 512
+VECTORS_AT_ONCE, QUERIES_AT_ONCE, BLOCKS_KEPT = 4096, 512, 256
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -48,33 +50,53 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     """The k nearest vectors of each query: ``query_id, {key}, distance, similarity, rank``, ties by the lesser key.
 
     Null and empty vectors and null keys are left out on both sides; vectors of another length than the query's are
-    no neighbours of it. A repeated key is a neighbour as often as it comes. Empty tables give no rows.
+    no neighbours of it. A repeated key is a neighbour as often as it comes; a repeated query asks once. Empty tables give no rows.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    blocks = _packed(vectors, key, vector, VECTORS_AT_ONCE)
-    asked = _packed(queries, key, vector, QUERIES_AT_ONCE).select(F.col("ids").alias("qids"), F.col("size").alias("qsize"), F.col("data").alias("qdata"))
+    spread = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = _packed(vectors, key, vector, VECTORS_AT_ONCE).withColumn("part", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(spread)))
+    asked = _packed(queries.dropDuplicates([key]), key, vector, QUERIES_AT_ONCE).select(
+        F.col("ids").alias("qids"), F.col("size").alias("qsize"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("qpart")
+    )
+
+    def best(ids: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.lexsort((ids, distance))[:k]
+        return ids[first], distance[first]
+
+    def rows(kept: dict) -> pa.RecordBatch:
+        lists = [(q, *x) for qids, near in kept.values() for q, x in zip(qids, near)]
+        columns = [np.concatenate(c) for c in ([np.full(len(i), q, dtype=np.int64) for q, i, _ in lists], [i for _, i, _ in lists], [d for *_, d in lists])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", key, "distance"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}  # by query block: the nearest so far of each of its queries
         for batch in batches:
             for row in batch.to_pylist():
                 v = np.frombuffer(row["data"]).reshape(-1, row["size"])
                 q = np.frombuffer(row["qdata"]).reshape(-1, row["qsize"])
-                ids, qids = np.array(row["ids"]), np.array(row["qids"])
-                near = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
+                ids, qids = np.array(row["ids"], dtype=np.int64), row["qids"]
+                rough = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
                 some = min(len(ids), k + 8)
-                out_q, out_i, out_d = [], [], []
+                edges = np.partition(rough, some - 1, axis=1)[:, some - 1] * (1 + 1e-9) + 1e-6
+                block = (qids[0], len(qids), zlib.crc32(row["qdata"]))
+                old = kept.get(block, (qids, None))[1]
+                near = []
                 for j in range(len(qids)):
-                    edge = np.partition(near[j], some - 1)[some - 1] + 1e-6
-                    at = np.flatnonzero(near[j] <= edge)
-                    exact = ((v[at] - q[j]) ** 2).sum(1)
-                    best = np.lexsort((ids[at], exact))[:k]
-                    out_q.append(np.full(len(best), qids[j]))
-                    out_i.append(ids[at][best])
-                    out_d.append(exact[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_d)], names=["query_id", key, "distance"])
-
-    pairs = blocks.join(asked, F.col("size") == F.col("qsize"))  # a set of queries against all rows, block by block
+                    at = np.flatnonzero(rough[j] <= edges[j])
+                    found, distance = ids[at], ((v[at] - q[j]) ** 2).sum(1)
+                    if old is not None:
+                        found, distance = np.concatenate([old[j][0], found]), np.concatenate([old[j][1], distance])
+                    near.append(best(found, distance))
+                kept[block] = (qids, near)
+                if len(kept) >= BLOCKS_KEPT:
+                    yield rows(kept)
+                    kept.clear()
+        if kept:
+            yield rows(kept)
+
+    # a set of queries against all rows, block by block: each part of the vectors meets every block of queries
+    pairs = blocks.join(asked, (F.col("part") == F.col("qpart")) & (F.col("size") == F.col("qsize"))).select("ids", "size", "data", "qids", "qsize", "qdata")
     found = pairs.mapInArrow(search, f"query_id long, {key} long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", key, "distance", similarity(F.col("distance")).alias("similarity"), "rank")
