@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from forgeline.session import materialize
+
 # Words of names that hold passwords, tokens, or something harmless about them.
 PASSWORD_WORDS = frozenset("password passwd pwd pass passphrase passcode pw auth dsn userpass".split())
 TOKEN_WORDS = frozenset("secret token apikey credential credentials bearer jwt authorization authtoken accesskey secretkey signingkey privatekey appkey xauth webhook".split())
@@ -248,8 +250,8 @@ def redacted(source: str, spans: list[tuple[int, int]], mark: str = "REDACTED")
 def word_costs(df: DataFrame, source: str = "source_code", least: float = 5e-4, most: int = 20_000) -> dict[str, float]:
     """The dictionary: the words that come in a share of at least ``least`` of all texts, with their cost in nats.
 
-    Texts are counted where they lie; of the words, at most the ``most`` frequent ones come to the driver, a bound
-    that does not depend on the corpus.
+    Texts are counted where they lie. Rare words, which grow with the corpus, are left out before any row is sent; of
+    the others, at most the ``most`` frequent ones come to the driver, a bound that does not depend on the corpus.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,10 +263,12 @@ def word_costs(df: DataFrame, source: str = "source_code", least: float = 5e-4,
                     seen.update({w.lower() for w in _DICTIONARY_WORD.findall(text) if len(w) <= 24})
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counted = df.select(F.col(source)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") >= 3).orderBy(F.desc("n"), "word").limit(most + 1).collect()  # all texts count as a word without letters, the first row
+    counted = materialize(df.select(F.col(source)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    texts = counted.filter("word = ''").first()  # all texts count as a word without letters
+    frequent = counted.filter((F.col("word") != "") & (F.col("n") >= max(3.0, least * (texts.n if texts else 0))))
+    rows = frequent.orderBy(F.desc("n"), "word").limit(most).collect()
     total = sum(r.n for r in rows) or 1
-    return {r.word: math.log(total / r.n) for r in rows if r.word and r.n >= least * rows[0].n}
+    return {r.word: math.log(total / r.n) for r in rows}
 
 
 def _segmenter(df: DataFrame, source: str):
