@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgeline.functions.text import PARSED_EXTENSIONS, chunk_key, clean_path, lookup, path_extension
+from forgeline.session import spread
 
 _LITERAL = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<=[=(,:\[!&|?{};\n])[ \t]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", re.S)
 _DECLARED = re.compile(
@@ -135,5 +136,5 @@ def extract_chunks(files: DataFrame, key: str = "file_id") -> DataFrame:
                 out += [(k, repo, path, *c, "\n".join(lines[c[3] - 1 : c[4]])) for c in found or ()]
             yield pd.DataFrame(out, columns=[key, "repository_id", "file_path", "symbol_type", "symbol_name", "parent_symbol", "start_line", "end_line", "source_code"])
 
-    found = rows.mapInPandas(run, schema)
+    found = spread(rows).mapInPandas(run, schema)
     return found.withColumn("chunk_key", chunk_key(F.col("repository_id"), F.col("file_path"), F.col("parent_symbol"), F.col("symbol_name"), F.col("start_line"), F.col("end_line"))).withColumn("checksum", F.sha2("source_code", 256))
