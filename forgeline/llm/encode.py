@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from forgeline.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the word pattern shared by the public byte-level BPE vocabularies.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -175,7 +177,7 @@ def encode_corpus(df: DataFrame, text: str = "text", out: str = "ids", tokenizer
                 ids = encoder.encode(batch.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(ids, type=pa.list_(pa.int32()))], names=[*names, out])
 
-    return df.select(*(F.col(f"`{n}`") for n in [*names, text])).mapInArrow(run, schema)
+    return spread(df.select(*(F.col(f"`{n}`") for n in [*names, text]))).mapInArrow(run, schema)
 
 
 def decode_corpus(df: DataFrame, ids: str = "ids", out: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

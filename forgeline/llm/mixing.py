@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from forgeline.llm.encode import TOKENIZERS, encode_corpus
-from forgeline.session import materialize
+from forgeline.session import materialize, spread
 
 #: Bins of rates a source; a source misses its part by at most a bin's tokens, or one document.
 BINS = 1 << 14
@@ -63,7 +63,7 @@ def _sized(docs: DataFrame, targets: DataFrame, doc_id: str, text: str, source:
     )
     texts = docs.select(F.col(doc_id).alias("id"), source_key(F.col(source)).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
     # the targets have one row a source, a size fixed by the mixture and not by the corpus; Spark broadcasts what is small
-    sized = encode_corpus(texts.join(want, "key"), "text", "ids", tokenizer, folder).withColumn("n_tokens", F.size("ids").cast("long")).drop("ids", "key")
+    sized = encode_corpus(spread(texts).join(want, "key"), "text", "ids", tokenizer, folder).withColumn("n_tokens", F.size("ids").cast("long")).drop("ids", "key")
     return materialize(sized.withColumn("rates", rising_rates(uniform(F.col("id").cast("string"), seed=seed), F.col("most"))), "sized")
 
 

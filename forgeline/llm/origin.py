@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from forgeline.llm.syntax import LANGUAGES, extension
-from forgeline.session import materialize, read_together
+from forgeline.session import materialize, read_together, spread
 
 # Phrases by which tools mark their output, in English and the other languages of the corpus.
 GENERATED = re.compile(
@@ -156,7 +156,7 @@ def foreign_files(df: DataFrame, file_id: str = "file_id", repository: str = "re
         df.select(F.col(file_id).alias("file_id"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repo"), _clean_path(F.col(path)).alias("path"), F.col(source).alias("src"))
         .filter(extension(F.col("path")).isin(*LANGUAGES) & F.col("file_id").isNotNull() & (F.length("src") > 0))
     )
-    facts = materialize(code.select("file_id", "repo", "path", _layout("path", "src").alias("layout"), _blocks(F.col("src")).alias("blocks")), "facts")
+    facts = materialize(spread(code).select("file_id", "repo", "path", _layout("path", "src").alias("layout"), _blocks(F.col("src")).alias("blocks")), "facts")
     hashed = facts.filter(F.aggregate("blocks", F.lit(0), lambda a, b: a + b["n"]) >= LEAST_SHARED).select("file_id", "repo", "path", F.xxhash64(F.transform("blocks", lambda b: b["h"])).alias("hash"), "blocks")
     by_dir = shared_subtrees(hashed.select("file_id", "repo", "path", "hash").dropDuplicates(["file_id"]))
     parts = F.split("path", "/")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from forgeline.session import spread
+
 DEFECTS = ("empty", "truncated", "refusal", "copied", "language")
 DIM = 1 << 15
 #: Pair features lie below this position, n-grams above; the heads named here judge by pair features alone.
@@ -320,4 +322,4 @@ def broken_pairs(df: DataFrame, response_id: str = "response_id", query: str = "
     def judge(queries: pd.Series, answers: pd.Series) -> pd.Series:
         return pd.Series([defect_of(model.value, q, a) for q, a in zip(queries, answers)], dtype=object)
 
-    return rows.select("response_id", judge("q", "a").alias("defect")).filter(F.col("defect").isNotNull()).groupBy("response_id").agg(F.min("defect").alias("defect"))
+    return spread(rows).select("response_id", judge("q", "a").alias("defect")).filter(F.col("defect").isNotNull()).groupBy("response_id").agg(F.min("defect").alias("defect"))

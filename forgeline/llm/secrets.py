@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from forgeline.session import materialize
+from forgeline.session import materialize, spread
 
 # Words of names that hold passwords, tokens, or something harmless about them.
 PASSWORD_WORDS = frozenset("password passwd pwd pass passphrase passcode pw auth dsn userpass".split())
@@ -263,7 +263,7 @@ def word_costs(df: DataFrame, source: str = "source_code", least: float = 5e-4,
                     seen.update({w.lower() for w in _DICTIONARY_WORD.findall(text) if len(w) <= 24})
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counted = materialize(df.select(F.col(source)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counted = materialize(spread(df.select(F.col(source))).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     texts = counted.filter("word = ''").first()  # all texts count as a word without letters
     frequent = counted.filter((F.col("word") != "") & (F.col("n") >= max(3.0, least * (texts.n if texts else 0))))
     rows = frequent.orderBy(F.desc("n"), "word").limit(most).collect()
@@ -297,7 +297,7 @@ def secret_lines(df: DataFrame, file_id: str = "file_id", path: str = "file_path
         return pd.Series(found, dtype=object)
 
     rows = df.select(F.col(file_id).alias("file_id"), F.col(path).alias("p"), F.col(source).alias("s")).filter(F.col("file_id").isNotNull() & (F.length("s") > 0))
-    return rows.select("file_id", F.explode(lines("p", "s")).alias("n")).select("file_id", F.col("n").cast("long").alias("line_no")).distinct()
+    return spread(rows).select("file_id", F.explode(lines("p", "s")).alias("n")).select("file_id", F.col("n").cast("long").alias("line_no")).distinct()
 
 
 def redact_secrets(df: DataFrame, path: str = "file_path", source: str = "source_code", out: str = "redacted_code", mark: str = "REDACTED") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from forgeline.llm import lexers, pushdown
+from forgeline.session import spread
 
 # The extensions judged, with the language they stand for.
 LANGUAGES = {"py": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript"}
@@ -74,7 +75,7 @@ def broken_files(df: DataFrame, file_id: str = "file_id", path: str = "file_path
     give no row. Of repeated rows the least kind is kept. Texts are read where they lie; only failures are shuffled.
     """
     rows = df.select(F.col(file_id).alias("file_id"), extension(F.col(path)).alias("ext"), F.col(source).alias("src")).filter(F.col("ext").isin(*LANGUAGES) & F.col("file_id").isNotNull() & (F.length("src") > 0))
-    return rows.select("file_id", _failures("ext", "src").alias("failure")).filter(F.col("failure").isNotNull()).groupBy("file_id").agg(F.min("failure").alias("failure"))
+    return spread(rows).select("file_id", _failures("ext", "src").alias("failure")).filter(F.col("failure").isNotNull()).groupBy("file_id").agg(F.min("failure").alias("failure"))
 
 
 def failure_rates(df: DataFrame, runs: DataFrame) -> DataFrame:
