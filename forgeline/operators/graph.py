@@ -131,8 +131,9 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, i
     return read_together(seen).filter("depth > 0")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, relationships: list[str] | None = None, max_depth: int = DEPTH_LIMIT) -> DataFrame:
-    """``source, target, hops, path`` for the pairs that are connected; a node reaches itself in no step.
+def shortest_paths(edges: DataFrame, pairs: DataFrame, relationships: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """``source, target, hops, path`` for the pairs that are connected, within ``max_depth`` steps if that is given; a
+    node reaches itself in no step. Nodes found are left out of the next step, so the search ends by itself.
 
     ``edges`` may have ``ordinal``, the order in which a node's edges are tried (by target without it). Among
     shortest paths the one found first by a breadth-first search in that order wins: it has the least sequence of
@@ -145,9 +146,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, relationships: list[str]
     first = wanted.select("source").distinct().select("source", F.col("source").alias("at"), F.array().cast("array<string>").alias("turns"), F.array("source").alias("path"))
     frontier, n = materialize_counted(first, "front")
     found = [frontier]
-    for _ in range(max_depth):
-        if not n:
-            break
+    while n and (max_depth is None or len(found) <= max_depth):
         step = frontier.join(steps, "at").select("source", "to", F.concat("turns", F.array("turn")).alias("turns"), F.concat("path", F.array("to")).alias("path"))
         best = step.groupBy("source", F.col("to").alias("at")).agg(F.min(F.struct("turns", "path")).alias("b"))
         fresh = best.join(read_together(found).select("source", "at"), ["source", "at"], "left_anti").select("source", "at", "b.turns", "b.path")

@@ -38,6 +38,14 @@ def test_shortest_paths_follow_the_order_of_a_queue(spark):
     assert got == want
 
 
+def test_paths_longer_than_the_depth_limit(spark):
+    n = graph.DEPTH_LIMIT + 2
+    e = spark.createDataFrame([(f"c{i}", f"c{i + 1}", "CONTAINS", 0) for i in range(n)] + [(f"c{n}", "c0", "CONTAINS", 0)], EDGE).coalesce(1)
+    pairs = spark.createDataFrame([("c0", f"c{n}"), ("c0", "c3"), ("c0", "gone")], "source string, target string")
+    assert {r.target: (r.hops, r.path) for r in graph.shortest_paths(e, pairs).collect()} == {t: (k, [f"c{i}" for i in range(k + 1)]) for t, k in (("c3", 3), (f"c{n}", n))}
+    assert [(r.target, r.hops) for r in graph.shortest_paths(e, pairs, max_depth=3).collect()] == [("c3", 3)]
+
+
 def test_paths_by_relationship(spark):
     e = spark.createDataFrame([("a", "b", "CALLS", 0), ("b", "c", "IMPORTS", 1), ("a", "c", "CONTAINS", 2)], EDGE)
     pairs = spark.createDataFrame([("a", "c")], "source string, target string")
