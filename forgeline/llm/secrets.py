@@ -4,7 +4,8 @@ Literals, configuration values, URLs, headers and comments give candidate values
 to. Viterbi segmentation explains a value by words of the corpus' own dictionary; what stays unexplained is its
 residual. Under a name of a credential a long residual (for passwords also words with digits or marks) makes a
 secret; without such a name only values of known token formats are secrets. Placeholders, references and the known
-formats of hashes and ids are left out. Found places are redacted in place, so all other text stays as it is.
+formats of hashes and ids are left out. Values may have any length and a key block reaches to its END line, however
+far; quantifiers are possessive, so scans stay linear. Found places are redacted in place, so all other text stays as it is.
 """
 
 from __future__ import annotations
@@ -44,15 +45,15 @@ PLACEHOLDER = re.compile(
     r"|(?:process\.env|os\.environ|env|vault|secret|ssm|arn|op|keyring|file)[.:/\[(].*|@.*|&\w+|\w+\(.*",
     re.I,
 )
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\\[rn]|[\s\"'+,])*[A-Za-z0-9+/=:, -]{16,}(?:.{0,8000}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?", re.S)
-_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,30}://[^\s/:@\"'`<>]{0,60}:([^\s/@\"'`]{3,200})@[\w.\[-]", re.I)
-_SCHEME = re.compile(r"\b(bearer|basic|token)\s+([A-Za-z0-9+/_.=~-]{8,1000})", re.I)
-_CURL = re.compile(r"\s(?:-u|--user)[ =]+[\"']?[\w.-]*:([^\s\"']{6,1000})")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\\[rn]|[\s\"'+,])*[A-Za-z0-9+/=:, -]{16,}(?:(?:[^-]++|-(?!----BEGIN |----END (?:[A-Z0-9]+ )*PRIVATE KEY))*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?")
+_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,30}://[^\s/:@\"'`<>]*+:([^\s/@\"'`]{3,}+)@[\w.\[-]", re.I)
+_SCHEME = re.compile(r"\b(bearer|basic|token)\s+([A-Za-z0-9+/_.=~-]{8,}+)", re.I)
+_CURL = re.compile(r"\s(?:-u|--user)[ =]+[\"']?[\w.-]*:([^\s\"']{6,}+)")
 _QUOTED = re.compile(
-    r"([\"'`])((?=[^\s\"'`]*(?:[0-9!%*?#+=/@$&^~]|[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z]{8}))[^\s\"'`\\]{6,1000}|[^\s\"'`\\]{6,1000}(?=[\"'`][ \t]*(?:\+[ \t]*)?\\?\n[ \t]*(?:\+[ \t]*)?[\"']))\1"
+    r"([\"'`])((?=[^\s\"'`]*(?:[0-9!%*?#+=/@$&^~]|[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z]{8}))[^\s\"'`\\]{6,}+|[^\s\"'`\\]{6,}+(?=[\"'`][ \t]*(?:\+[ \t]*)?\\?\n[ \t]*(?:\+[ \t]*)?[\"']))\1"
 )
-_JOINED = re.compile(r"\s*(?:\+\s*)?\\?\n?[ \t]*(?:\+\s*)?([\"'])([^\s\"'`\\]{2,1000})\1")
-_COMMENT_KEY = re.compile(r"\b(password|passwd|pwd|pass|passphrase|token|secret|api[ _-]?key|access[ _-]?key|key|credential)\b\s*(?:is|was|=|:|->|=>)?\s*[\"']?([^\s\"',;]{8,1000})", re.I)
+_JOINED = re.compile(r"\s*(?:\+\s*)?\\?\n?[ \t]*(?:\+\s*)?([\"'])([^\s\"'`\\]{2,}+)\1")
+_COMMENT_KEY = re.compile(r"\b(password|passwd|pwd|pass|passphrase|token|secret|api[ _-]?key|access[ _-]?key|key|credential)\b\s*(?:is|was|=|:|->|=>)?\s*[\"']?([^\s\"',;]{8,}+)", re.I)
 _COMMENT = re.compile(r"(?:^|\s)(?://|\#|/\*|\*|--|<!--)(?=[\s\w!])(.*)$")
 _BEFORE = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\]]?\s*(?::\s*[\w.<>\[\]| ]+?\s*)?(?:=|:|=>|:=|\|\||\?\?|\bor\b)\s*(?:[\w.$]*\(\s*|[bru]{0,2})?$")
 _ARGUMENT = re.compile(r"[\"']([\w.-]+)[\"']\s*[,:]\s*(?:[\w.$]*\(\s*)?$")
@@ -108,7 +109,7 @@ class Segmenter:
 def is_secret(value: str, kind: str, words: Segmenter) -> bool:
     """Whether a value under a name of this kind is a live credential."""
     value = value.strip()
-    if not 6 <= len(value) <= 1000 or PLACEHOLDER.fullmatch(value):
+    if len(value) < 6 or PLACEHOLDER.fullmatch(value):
         return False
     if TOKEN_FORMAT.search(value) and not value.startswith(("http://", "https://")):
         return True
@@ -163,11 +164,13 @@ def _spans(source: str, config: bool, words: Segmenter) -> Iterator[tuple[int, i
         for m in _QUOTED.finditer(source):
             if m.start() < end:
                 continue
-            value, end = m[2], m.end()
+            parts, end = [m[2]], m.end()
             while j := _JOINED.match(source, end):
                 if source[end : j.start(1)].strip(" \t\n") == "" and "\n" not in source[end : j.start(1)]:
                     break
-                value, end = value + j[2], j.end()
+                parts.append(j[2])
+                end = j.end()
+            value = "".join(parts)
             if is_secret(value, "other", words):
                 yield m.start(2), end - 1
                 continue

@@ -1,6 +1,9 @@
 """The training-data operators against brute force, exact round trips and held-out cases, with the defined edge cases."""
 
+import base64
+import hashlib
 import random
+import time
 import unicodedata
 
 import pytest
@@ -159,6 +162,33 @@ def test_harmless_values(source):
     assert secrets.find_spans("a.py", source, WORDS) == [] and secrets.redacted(source, []) == source
 
 
+LONG = "".join(base64.b64encode(hashlib.sha512(bytes([i])).digest()).decode().rstrip("=") for i in range(140))  # 12,040 characters
+SAFE = LONG.replace("/", "_").replace("+", "-")
+LONG_SECRETS = [
+    f'access_token = "{LONG}"', f"x = 'eyJ{SAFE[:40]}.eyJ{SAFE[:4000]}.{SAFE[:40]}'", f'h = {{"Authorization": "Bearer {LONG}"}}', f"# Authorization: Bearer {LONG}", f"# token is {LONG}", f'url = "postgres://app:{SAFE}@db.internal/main"', f"curl -u bot:{LONG} https://git.example",
+    'client_secret = (\n    "' + '"\n    "'.join(LONG[i : i + 2000] for i in range(0, 12_000, 2000)) + '"\n)', 'key = """-----BEGIN RSA PRIVATE KEY-----\n' + "\n".join(LONG[i : i + 64] for i in range(0, 12_040, 64)) + '\n-----END RSA PRIVATE KEY-----"""',
+]
+
+
+@pytest.mark.parametrize("source", LONG_SECRETS, ids=range(len(LONG_SECRETS)))
+def test_long_secrets_leave_no_rest(source):
+    spans = secrets.find_spans("a.py", f"x = 1\n{source}\ny = 2\n", WORDS)
+    out = secrets.redacted(f"x = 1\n{source}\ny = 2\n", spans)
+    assert len(spans) == 1 and out.startswith("x = 1\n") and out.endswith("\ny = 2\n")
+    assert not any(LONG[i : i + 20] in out or SAFE[i : i + 20] in out for i in range(0, 12_000, 20))
+    assert secrets.find_spans("a.env", f"A=b\nACCESS_TOKEN={LONG}\n", WORDS) == [(17, 17 + len(LONG))]
+
+
+def test_long_texts_are_scanned_in_linear_time():
+    key = "-----BEGIN PRIVATE KEY-----\n" + LONG[:64] + "\n"
+    for text in ("a" * 200_000, '"' + "aB1" * 60_000, "token " + "-" * 200_000, key * 2000, "://x:" * 40_000, "key:" * 50_000):
+        t = time.perf_counter()
+        secrets.find_spans("a.py", f"# {text}", WORDS)
+        assert time.perf_counter() - t < 5
+    both = key + "x = 1\n" + key + "-----END PRIVATE KEY-----\n"
+    assert "x = 1\n" in secrets.redacted(both, secrets.find_spans("a.py", both, WORDS))
+
+
 def test_secret_lines(spark):
     env = "# settings\nexport NAME=web\nDB_PASSWORD=\"Queue87!\"\nAPI_TOKEN=\nSTATE=build-41e30bd7bf84213ac8a06cd347930314a591fd40\nSMTP_PASS=<password>\n"
     rows = [(1, "deploy/.env", env), (1, "deploy/.env", env), (2, "a.py", "x = 1\r\npassword = 'hunter22!x'\r\n"), (3, "b.py", None), (4, None, ""), (None, "c.env", "DB_PASSWORD=Queue87!"), (5, ".netrc", "machine git.example\n  login bot\n  password j1dxHuR!ZmRtYbW\n"), (6, "long.py", "x = 1\n" * 40_000 + "password = 'hunter22!x'\n")]
