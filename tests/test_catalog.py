@@ -143,3 +143,54 @@ def test_chunks(spark):
     df = spark.createDataFrame([(1, 7, "./a.PY", PY.replace("\n", "\r\n"), "x"), (2, 7, "b.md", PY, "x"), (3, 7, "c.py", None, "x"), (4, 7, "d.py", "def (", "x")], "file_id long, repository_id long, file_path string, source_code string, symbol_name string")
     rows = chunking.extract_chunks(df).orderBy("start_line").collect()
     assert len(rows) == 5 and rows[1].source_code.startswith("    def run") and rows[0].file_path == "a.PY" and len(rows[0].chunk_key) == 16
+
+
+NESTED = """(function () {
+  function inner(a) {
+    const deep = () => a, other = function () { return 1; };
+    class Box {
+      open({ a, b } = {}, opts: { x: number; y?: string } = {}): { ok: boolean } {
+        function unseen() {}
+      }
+      *[Symbol.iterator]() { yield 1; }
+      static async #load<T>(cb: (a: T) => void) {}
+      field = foo(1)
+      set value(v) { this.v = v; }
+      run = () => { function seen() {} };
+      sig(a: string): void;
+      sig(a: any): void { if (a) { b(a); } }
+    }
+  }
+})();
+if (ready) {
+  var a = x => x + 1, b = 2,
+    c = async (q) => {
+      return q;
+    };
+}
+namespace Tools {
+  export function pick<T extends { id: string }>(a: T): a is T { return true; }
+  export abstract class Base extends Mix({ a: 1 }) { abstract f(): void; g() {} }
+}
+export function over(a: string): void;
+module.exports = { start() { return 1; }, async stop({ now }) {} };
+const called = (function () { function hidden() {} })();
+const text = "x"
+function last() {}
+const h: (a: number) => void = (a) => {};
+switch (a) { case f(x): { call(a); } default: function dflt() {} }
+const cls = class { m() {} };
+export default () => { function tail() {} };
+"""
+
+
+def test_chunks_at_any_depth():
+    box, found = "Box", chunking.chunks_of("typescript", NESTED)
+    assert found == [
+        ("function", "inner", None, 2, 16), ("arrow_function", "deep", None, 3, 3), ("arrow_function", "other", None, 3, 3), ("class", box, None, 4, 15), ("method", "open", box, 5, 7), ("method", "[Symbol.iterator]", box, 8, 8), ("method", "#load", box, 9, 9),
+        ("method", "value", box, 11, 11), ("function", "seen", box, 12, 12), ("method", "sig", box, 14, 14), ("arrow_function", "a", None, 19, 22), ("arrow_function", "c", None, 19, 22), ("function", "pick", None, 25, 25), ("class", "Base", None, 26, 26), ("method", "g", "Base", 26, 26),
+        ("method", "start", None, 29, 29), ("method", "stop", None, 29, 29), ("function", "last", None, 32, 32), ("arrow_function", "h", None, 33, 33), ("function", "dflt", None, 34, 34), ("function", "tail", None, 36, 36),
+    ]
+    assert chunking.chunks_of("python", "class A:\n  class B:\n    def f(self): pass\n  def g(self): pass\n") == [("class", "A", None, 1, 4), ("class", "B", "A", 2, 3), ("method", "f", "B", 3, 3), ("method", "g", "A", 4, 4)]
+    rows = "const rows = (a: Array<{ n: number }>): Record<string, number> => {\n  return {};\n}, two = (b: Map<string, number>) => b as Map<string, number>;\nexport default function f(state = {}, { a }: { a: string } = {}) {\n  return 1;\n}\n"
+    assert chunking.chunks_of("typescript", rows) == [("arrow_function", "rows", None, 1, 3), ("arrow_function", "two", None, 1, 3), ("function", "f", None, 4, 6)]
