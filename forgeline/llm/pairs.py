@@ -8,10 +8,12 @@ synthetic pairs. A response gets the defect whose score exceeds its threshold by
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,14 @@ STOPWORDS = {
     "fr": "le la les un une des du de et est sont était que qui dans pour pas avec sur par au aux ce cette ces se ne il elle nous vous je où quels quelles quel pourquoi comment si avant afin dès sauf chaque notre tout toutes tous plus leurs sans ont être à l d qu".split(),
     "es": "el la los las un una unos unas de del y es son era que quien en para no con por al se lo su sus este esta estos cada nuestro cuando antes después donde dónde qué cómo cuál quién está como si más todas todos toda sin hay han ser a".split(),
 }
+STOPWORDS["ru"] = "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о из ему когда если или ни быть был для это этот эта эти который которая которые чтобы при где почему какой через после до также их мы они можно нельзя перед каждый".split()
+# Scripts by the first word of their letters' Unicode names.
+SCRIPTS = {"CYRILLIC": "cyrillic", "GREEK": "greek", "CJK": "cjk", "HIRAGANA": "cjk", "KATAKANA": "cjk", "HANGUL": "hangul", "ARABIC": "arabic", "HEBREW": "hebrew", "DEVANAGARI": "devanagari", "THAI": "thai", "LATIN": "latin"}
+# Sentences in other scripts, for synthetic examples of the head ``language``; the other heads do not see them.
+OTHER_TEXTS = [
+    "Модуль загружает индекс и проверяет каждую строку перед записью в таблицу.", "Этот класс хранит список файлов и вызывает сервис, когда ветка меняется.", "Модуль завантажує індекс і перевіряє кожен рядок перед записом.", "Η μονάδα φορτώνει το ευρετήριο και ελέγχει κάθε γραμμή πριν από την εγγραφή.",
+    "该模块加载索引，并在写入表之前检查每一行。", "モジュールはインデックスを読み込み、書き込む前に各行を確認します。", "모듈은 색인을 읽고 기록하기 전에 모든 행을 확인합니다.", "تقوم الوحدة بتحميل الفهرس وتتحقق من كل سطر قبل الكتابة.", "המודול טוען את האינדקס ובודק כל שורה לפני הכתיבה.", "मॉड्यूल सूची को लोड करता है और लिखने से पहले हर पंक्ति की जाँच करता है।",
+]
 # How refusals begin and end, for synthetic examples.
 REFUSALS = {
     "en": ["I can't answer that", "I cannot help with this", "I'm sorry, but I can't provide that information", "Unfortunately, I am not able to answer this question", "I am unable to help with this request", "I don't have enough information to answer this", "I won't be able to describe that", "I have to decline this one", "As an assistant, I cannot share that", "This is not something I can comment on", "Sorry, that is outside of what I may do", "Answering this is outside of what I am allowed to do", "The available context gives me nothing to answer from", "I'm afraid I cannot discuss this", "Apologies, I can't help with that", "I do not have access to that information", "Thanks for asking, but I must refuse to answer this", "I cannot provide this information", "I can't share this", "I cannot answer this question", "I'm not allowed to talk about this", "The context does not contain anything about this", "I can't comment on that"],
@@ -53,7 +63,8 @@ LABELS = re.compile(r"\b(?:answer|response|reply|antwort|réponse|respuesta|assi
 NUMBER_WORDS = {w: n for n, ws in {2: "two zwei deux dos", 3: "three drei trois tres", 4: "four vier quatre cuatro", 5: "five fünf cinq cinco", 6: "six sechs six seis"}.items() for w in ws.split()}
 _LOCATES = re.compile(r"\.\w{1,5}[`'\"]?(?:,|:| at| in| on| an| à| en)? ?(?:(?:lines?|zeilen?|lignes?|líneas?|l\.) ?)?\d+(?: ?(?:-|–|to|bis|à|a) ?\d+)?$|^(?:lines?|zeilen?|lignes?|líneas?) \d+$", re.I)
 _COUNTED = re.compile(r"\b(" + "|".join(NUMBER_WORDS) + r"|[2-9])\s+(?:steps?|parts?|places?|points?|reasons?|files?|ways?|things?|schritte?|teile|stellen|punkte|gründe|étapes?|parties|endroits|points?|raisons?|pasos|partes|lugares|puntos|razones)\b", re.I)
-_LANGUAGE_NAMES = {"en": "english|englisch|anglais|inglés", "de": "german|deutsch|allemand|alemán", "fr": "french|französisch|français|francés", "es": "spanish|spanisch|espagnol|español"}
+_LANGUAGE_NAMES = {"en": "english|englisch|anglais|inglés", "de": "german|deutsch|allemand|alemán", "fr": "french|französisch|français|francés", "es": "spanish|spanisch|espagnol|español", "ru": "russian|russisch|russe|ruso|русском|русский"}
+_OTHER_ASKED = re.compile(r"\b(?:in|auf|en|into|ins|на|to)\s+(?:russian|russisch|russe|ruso|русском|ukrainian|bulgarian|serbian|greek|griechisch|grec|griego|chinese|chinesisch|chinois|chino|japanese|japanisch|japonais|japonés|korean|koreanisch|coréen|coreano|arabic|arabisch|arabe|árabe|hebrew|hebräisch|hébreu|hebreo|hindi|thai|italian|italienisch|italien|italiano|portuguese|portugiesisch|portugais|portugués|dutch|polish|swedish|turkish|czech)\b|\btranslat|\bübersetz|\btradu", re.I)
 _ASKED = {k: re.compile(r"\b(?:in|auf|en|into|ins)\s+(?:" + v + r")\b|\b(?:" + v + r")\b\W*(?:please|bitte|por favor)?\W*$", re.I) for k, v in _LANGUAGE_NAMES.items()}
 _CODE = re.compile(r"```.*?(?:```|$)|`[^`]*`|\S*[/\\_]\S*|https?://\S+|\b[a-z]+[A-Z]\w*\b|\"[^\"]*\"", re.S)
 _TOKEN = re.compile(r"[^\W_]+")
@@ -71,10 +82,22 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _TOKEN.findall(text)]
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _script_of(letter: str) -> str:
+    return SCRIPTS.get(unicodedata.name(letter, "").split(" ")[0], "other")
+
+
+def _scripts(text: str) -> dict[str, float]:
+    """The share of each script in the letters outside of code; nothing where there are hardly any."""
+    counts = Counter(_script_of(c) for c in _CODE.sub(" ", text) if c.isalpha())
+    total = sum(counts.values())
+    return {k: n / total for k, n in counts.items()} if total >= 4 else {}
+
+
 def _language(text: str) -> tuple[str, int, int]:
     """The language with most function words, its lead over the next one, and its own count."""
     words = [w.lower() for w in re.findall(r"[^\W\d_]+", _CODE.sub(" ", text))]
-    counts = sorted(((sum(w in _STOPSETS[k] for w in words) + sum(w in _OWN[k] for w in words), k) for k in STOPWORDS), reverse=True)
+    counts = sorted(((sum(w in _STOPSETS[k] for w in words) + sum(w in _OWN[k] for w in words), k) for k in STOPWORDS), key=lambda x: (x[0], x[1] != "ru", x[1]), reverse=True)
     return counts[0][1], counts[0][0] - counts[1][0], counts[0][0]
 
 
@@ -160,6 +183,15 @@ def pair_features(query: str | None, answer: str | None) -> dict[str, float]:
         differs = la != (wanted or lq)
         f["language_differs"] = float(differs)
         f["language_agrees"] = float(not differs)
+    in_answer, in_query = _scripts(a), _scripts(q)
+    if in_query and in_answer and not _OTHER_ASKED.search(q):
+        for k, n in in_answer.items():
+            if k != "latin":
+                f[f"script_{k}"] = max(0.0, n - in_query.get(k, 0.0))
+        most = max(in_answer, key=in_answer.get)
+        if in_answer[most] > 0.5 and most not in in_query and not (wanted and wanted == la):
+            f["language_differs"] = 1.0
+            f.pop("language_agrees", None)
     first = _spoken(a)
     f["length"] = min(1.0, len(first) / 60)
     pairs = list(zip(first, first[1:]))[:14]
@@ -223,7 +255,7 @@ def _synthetic(rng: random.Random, sample: list[tuple[str, str]]) -> list[tuple[
         others = [k for k in by_language if k != lq and by_language[k]]
         if others and lead > 0 and not any(r.search(q.strip()) for r in _ASKED.values()) and rng.random() < 0.5:
             out.append((q, rng.choice(by_language[rng.choice(others)]), "language"))
-        k = rng.choice(list(REFUSALS)) if rng.random() < 0.3 else lq
+        k = rng.choice(list(REFUSALS)) if rng.random() < 0.3 or lq not in REFUSALS else lq
         refusal = rng.choice(REFUSALS[k])
         start = rng.choice(REFUSAL_STARTS) if k == "en" else ""
         out.append((q, start + (refusal[0].lower() + refusal[1:] if start.endswith(", ") and not refusal.startswith("I") else refusal) + rng.choice(REFUSAL_ENDS), "refusal"))
@@ -235,8 +267,9 @@ def _synthetic(rng: random.Random, sample: list[tuple[str, str]]) -> list[tuple[
     return out
 
 
-def _fit(rows: list[tuple[np.ndarray, np.ndarray, str | None]], epochs: int, decay: float, rng: np.random.Generator) -> np.ndarray:
-    """Weights (defects, DIM + 1) of one-against-rest logistic regression, by Adagrad over mini-batches."""
+def _fit(rows: list[tuple[np.ndarray, np.ndarray, str | None]], epochs: int, decay: float, rng: np.random.Generator, n_own: int) -> np.ndarray:
+    """Weights (defects, DIM + 1) of one-against-rest logistic regression, by Adagrad over mini-batches; rows from
+    ``n_own`` on count for the head ``language`` alone, and not for its bias."""
     w, g = np.zeros((len(DEFECTS), DIM + 1)), np.full((len(DEFECTS), DIM + 1), 1e-6)
     y = np.array([[label == d for d in DEFECTS] for *_, label in rows], dtype=float)
     for _ in range(epochs):
@@ -248,8 +281,9 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, str | None]], epochs: int, dec
             owner = np.repeat(np.arange(len(some)), [len(rows[i][0]) + 1 for i in some])
             for d in range(len(DEFECTS)):
                 z = np.bincount(owner, w[d, keys] * values, len(some))
-                error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some, d]
+                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some, d]) * (DEFECTS[d] == "language" or some < n_own)
                 step = np.bincount(keys, error[owner] * values, DIM + 1) / len(some) + decay * w[d]
+                step[DIM] = error[some < n_own].sum() / len(some) + decay * w[d, DIM]
                 if DEFECTS[d] in PAIR_ONLY:
                     step[PAIR:DIM] = 0.0
                 g[d] += step * step
@@ -263,7 +297,7 @@ def _scores(w: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def train(sample: list[tuple[str, str]], seed: int = 5, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from pairs of unknown soundness; an empty sample gives a model that finds only empty answers."""
-    rng, np_rng = random.Random(seed), np.random.default_rng(seed)
+    rng, other_rng, np_rng = random.Random(seed), random.Random(seed + 1), np.random.default_rng(seed)
     w = np.zeros((len(DEFECTS), DIM + 1))
     limits = np.full(len(DEFECTS), np.inf)
     if sample:
@@ -273,7 +307,8 @@ def train(sample: list[tuple[str, str]], seed: int = 5, epochs: int = 3) -> tupl
             rng.shuffle(made)
             rows = [(*vector(q, a), label) for q, a, label in made]
             held = len(rows) // 5
-            w = _fit(rows[held:], epochs, decay, np_rng)
+            foreign = [(*vector(q, other_rng.choice(OTHER_TEXTS)), "language") for q, _ in pairs if _scripts(q).get("latin", 0.0) > 0.9 and other_rng.random() < 0.1]
+            w = _fit(rows[held:] + foreign, epochs, decay, np_rng, len(rows) - held)
             scored = np.array([_scores(w, k, v) for k, v, _ in rows[:held]]).reshape(held, len(DEFECTS))
             labels = [label for *_, label in rows[:held]]
             for d, name in enumerate(DEFECTS):

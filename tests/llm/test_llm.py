@@ -58,6 +58,16 @@ def test_pairs_on_held_out_defects(spark):
     assert hits / len(want) > 0.95 and hits / len(got) > 0.95
 
 
+def test_pairs_in_languages_of_any_script():
+    model = pairs.train(sorted({(q, x) for _, q, x in _answers(random.Random(4), 400)}))
+    ask = "Why does the cache keep the index in memory?"
+    for answer in ("Индекс загружается сервисом, который хранит `Store` и файлы проекта.", "Ο δείκτης φορτώνεται από την υπηρεσία του έργου.", "索引由服务加载，文件保存在项目中。", "يتم تحميل الفهرس بواسطة الخدمة."):
+        assert pairs.defect_of(model, ask, answer) == "language"
+        assert pairs.pair_features(ask + " Answer in Russian, Greek or Chinese: in Russian, please", answer).get("language_differs", 0.0) == 0.0
+    for query, answer in (("Где загружается индекс проекта и кто его хранит?", "Индекс загружается сервисом, который хранит файлы проекта."), (ask, "The index is kept so that each worker loads it once."), (None, "索引由服务加载。")):
+        assert pairs.pair_features(query, answer).get("language_differs", 0.0) == 0.0
+
+
 def test_pairs_edge_cases(spark):
     schema = "response_id long, query string, answer string"
     assert pairs.broken_pairs(spark.createDataFrame([], schema)).count() == 0
