@@ -1,121 +1,128 @@
 """Parent-child rows to full hierarchies: path, depth, root, descendants and cycles.
 
-Level-wise frontier joins start at the roots. A join takes the last frontier and the ways up of at most a few levels
-to the next ones, which are written to the shared folder, so that a lost executor costs one join and plans stay short. The ids on the way
-from the root give the ancestor pairs, which are counted map-side first. What no root reaches hangs on a cycle: a
-walk whose stride doubles ends on the cycle for every such node, and below it the same level-wise joins run again.
+Frontier joins start at the roots and extend paths and depths by bands of 1, 2, 4, ... levels: a node whose way of
+that many steps ends on a node with a known path gets its own, the ways of all others are doubled. The same joins
+give ancestor pairs at distances 1, 2, 4, ..., whose sums, taken map-side first, count the descendants without
+listing them. Rows leave the joins as soon as neither they nor anything below them is open, so all joins together
+stay in proportion to the rows, and numbers stand for ids in all keys. Ways that never leave the table, however
+often they are doubled, belong to nodes on cycles or below them; there the cycles are cut and serve as roots.
+Each join is written to the shared folder, so a lost executor costs one join and plans stay short.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgeline.session import materialize, materialize_counted, read_together
+from forgeline.session import materialize, materialize_counted
 
 TREE, ON_CYCLE, BELOW_CYCLE = "tree", "on_cycle", "below_cycle"
 SEPARATOR = " > "
 
 
-def _edges(df: DataFrame, node: str, parent: str, name: str) -> tuple[DataFrame, int]:
-    """One row a node: id, name, and the parent where that is a node too."""
+def _links(df: DataFrame, node: str, parent: str, name: str) -> DataFrame:
+    """One row a node: ``num``, ``id``, ``name``, and ``up``, the number of the parent where that is a node too."""
     nodes = (
         df.filter(F.col(node).isNotNull())
         .groupBy(F.col(node).cast("string").alias("id"))
         .agg(F.min(F.col(parent).cast("string")).alias("named"), F.min(F.coalesce(F.col(name), F.lit(""))).alias("name"))
+        .withColumn("num", F.monotonically_increasing_id())
     )
-    nodes = materialize(nodes, "nodes")
-    known = nodes.select(F.col("id").alias("parent"))
-    linked = nodes.join(known, F.col("named") == F.col("parent"), "left").select("id", "name", "parent")
-    return materialize_counted(linked, "edges")
-
-
-def _hops(edges: DataFrame, levels: int) -> tuple[DataFrame, int]:
-    """All ways upwards of 1 to ``levels`` steps (a power of 2): from ``id`` to ``up``, ``path`` the names below ``up``
-    and ``mid`` the ids between the two, from above. Made by joining ways of doubled length."""
-    hops, n_hops = materialize_counted(edges.select("id", F.col("parent").alias("up"), F.lit(1).alias("steps"), F.col("name").alias("path"), F.array().cast("array<string>").alias("mid")), "hops")
-    length = 1
-    while length < levels and n_hops:
-        low = hops.filter(F.col("steps") == length).select(F.col("id").alias("low"), F.col("up").alias("at"), F.col("path").alias("tail"), F.col("mid").alias("after"))
-        longer = low.join(hops, F.col("at") == F.col("id")).select(
-            F.col("low").alias("id"), "up", (F.col("steps") + length).alias("steps"), F.concat("path", F.lit(SEPARATOR), "tail").alias("path"), F.concat("mid", F.array("at"), "after").alias("mid")
-        )
-        longer, n_longer = materialize_counted(longer, "hops")
-        if not n_longer:
-            break
-        hops, n_hops, length = hops.union(longer), n_hops + n_longer, 2 * length
-    return hops, length
+    nodes = materialize(nodes, "nodes")  # numbers are fixed once they are written
+    known = nodes.select(F.col("id").alias("named"), F.col("num").alias("up"))
+    return materialize(nodes.join(known, "named", "left").select("num", "id", "name", "up"), "links")
 
 
-def _levels(edges: DataFrame, frontier: DataFrame, n_frontier: int, n_edges: int, levels_per_join: int) -> tuple[list[DataFrame], int]:
-    """The frontier and all levels under it, each a written table; ``anc`` are the ids above a row, nearest last.
+def _doubled(ways: DataFrame) -> DataFrame:
+    """Ways of twice the steps; those that end above a root are gone."""
+    return ways.join(ways.select(F.col("num").alias("up"), F.col("up").alias("then")), "up").select("num", F.col("then").alias("up"))
 
-    A join brings up to ``levels_per_join`` levels, and the lowest of them is the next frontier. Ways of reached
-    nodes are left out again as soon as those are half of the nodes scanned, so all scans together stay in
-    proportion to the edges.
-    """
-    levels, reached, used, since = [frontier], n_frontier, 0, []
-    if not (n_frontier and n_edges):
-        return levels, reached
-    hops, length = _hops(edges, levels_per_join)
+
+def _unrooted(links: DataFrame) -> tuple[DataFrame, int] | None:
+    """The nodes that no root reaches, with the end of a long way up; None where there are none."""
+    ways, n = materialize_counted(links.filter(F.col("up").isNotNull()).select("num", "up"), "ways")
+    while n:
+        ways, left = materialize_counted(_doubled(ways), "ways")
+        if left == n:  # no node hangs at this height, so none hangs higher
+            return ways, n
+        n = left
+    return None
+
+
+def _on_cycles(ways: DataFrame, n: int) -> DataFrame:
+    """``num`` of the nodes on cycles. The ends of all ways shrink to them; once their number stays, a step permutes
+    them, which nodes below a cycle do not take part in."""
     while True:
-        above = frontier.select(F.col("id").alias("up"), "top", "depth", F.col("path").alias("head"), "anc")
-        step = hops.join(above, "up").select(
-            "id", "top", (F.col("depth") + F.col("steps")).alias("depth"), F.concat_ws(SEPARATOR, "head", "path").alias("path"), F.concat("anc", F.array("up"), "mid").alias("anc")
-        )
-        level, n_level = materialize_counted(step, "level")
-        if not n_level:
-            break
-        levels.append(level)
-        reached += n_level
-        used += n_level
-        since.append(level)
-        lowest = len(levels[1:]) * length
-        frontier = level.filter(F.col("depth") == lowest)
-        if 2 * used >= n_edges and used < n_edges:
-            hops = materialize(hops.join(read_together(since).select("id"), "id", "left_anti"), "hops")
-            n_edges, used, since = n_edges - used, 0, []
-    return levels, reached
-
-
-def _cycles(rest: DataFrame, n_rest: int) -> DataFrame:
-    """The nodes on cycles, with the least id of their cycle, of nodes whose every walk upwards ends on one.
-
-    After a walk of at least ``n_rest`` steps each node is on a cycle, and the ends of all walks are all of them.
+        ends, n_ends = materialize_counted(ways.select(F.col("up").alias("num")).distinct(), "ends")
+        if n_ends == n:
+            return ends
+        n, ways = n_ends, materialize(_doubled(ways), "ways")
+
+
+def _cycle_labels(cycle: DataFrame) -> DataFrame:
+    """``num, label`` of the nodes ``num, up`` of cycles; the label is the least number of the cycle."""
+    walk, changed = materialize_counted(cycle.select("num", "up", F.least("num", "up").alias("label"), F.lit(True).alias("new")), "walk")
+    while changed:
+        ahead = walk.select(F.col("num").alias("up"), F.col("up").alias("then"), F.col("label").alias("least"))
+        step = walk.drop("new").join(ahead, "up").select("num", F.col("then").alias("up"), F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("new"))
+        walk, changed = materialize_counted(step, "walk", F.col("new"))
+    return walk.select("num", "label")
+
+
+def _climb(start: DataFrame, joined: Callable[[Column, Column], Column]) -> DataFrame:
+    """All rows of a forest with ``top, depth, way, below``, from ``num, id, up, way, in_tree``.
+
+    ``way`` holds what is told of the nodes on the way down to a row, put together by ``joined``; ``below`` is the
+    number of nodes under the row.
     """
-    walk = rest.select("id", F.col("parent").alias("at"), F.col("id").alias("least"))
-    steps = 1
-    while steps < n_rest:
-        ahead = walk.select(F.col("id").alias("at"), F.col("at").alias("then"), F.col("least").alias("least_then"))
-        walk = materialize(walk.join(ahead, "at").select("id", F.col("then").alias("at"), F.least("least", "least_then").alias("least")), "walk")
+    root = F.col("up").isNull()
+    rows, n_open = materialize_counted(
+        start.select("num", "id", "up", "way", "in_tree", F.when(root, F.col("id")).alias("top"), F.when(root, F.lit(0).cast("long")).alias("depth"), F.lit(0).cast("long").alias("below"), F.lit(True).alias("live")), "band", ~root
+    )
+    finished, steps = [], 1
+    while n_open:
+        finished.append(rows.filter(~F.col("live")))
+        now = rows.filter("live")
+        # pairs of ancestors and nodes that many steps under them, summed before they are shuffled
+        deeper = now.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("num")).agg(F.sum(F.col("below") + 1).alias("more"))
+        grown = now.join(deeper, "num", "left").withColumn("live", F.col("more").isNotNull()).withColumn("below", F.col("below") + F.coalesce("more", F.lit(0))).drop("more")
+        heads = grown.filter("live").select(F.col("num").alias("up"), F.col("up").alias("then"), F.col("top").alias("head_top"), F.col("depth").alias("head_depth"), F.col("way").alias("head"))
+        moved = (
+            grown.filter(F.col("up").isNotNull())
+            .join(heads, "up")
+            .select(
+                "num", "id", F.col("then").alias("up"), joined(F.col("head"), F.col("way")).alias("way"), "in_tree", F.col("head_top").alias("top"), (F.col("head_depth") + steps).alias("depth"), "below",
+                (F.col("live") | F.col("then").isNotNull()).alias("live"),
+            )
+        )
+        rows, n_open = materialize_counted(moved.unionByName(grown.filter(root)), "band", F.col("up").isNotNull())
         steps *= 2
-    return walk.join(walk.select(F.col("at").alias("id")).distinct(), "id", "left_semi").select("id", F.col("least").alias("top"))
+    for done in finished:
+        rows = rows.unionByName(done)
+    return rows
 
 
-def _resolve(df: DataFrame, node: str, parent: str, name: str, levels_per_join: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Rows of trees; nodes on cycles; nodes below cycles (the last two are None where all is reached)."""
-    edges, n_nodes = _edges(df, node, parent, name)
-    start = edges.filter(F.col("parent").isNull()).select("id", F.col("id").alias("top"), F.lit(0).cast("long").alias("depth"), F.col("name").alias("path"), F.array().cast("array<string>").alias("anc"))
-    roots, n_roots = materialize_counted(start, "level")
-    levels, reached = _levels(edges.filter(F.col("parent").isNotNull()), roots, n_roots, n_nodes - n_roots, levels_per_join)
-    tree = read_together(levels)
-    if reached == n_nodes:
-        return tree, None, None
-    rest, n_rest = materialize_counted(edges.join(tree.select("id"), "id", "left_anti"), "rest")
-    cycle, n_cycle = materialize_counted(_cycles(rest, n_rest), "cycle")
-    head = cycle.select("id", "top", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("path"), F.array().cast("array<string>").alias("anc"))
-    hanging = rest.join(cycle.select("id"), "id", "left_anti")
-    below, _ = _levels(hanging, head, n_cycle, n_rest - n_cycle, levels_per_join)
-    under = read_together(below[1:]) if len(below) > 1 else head.limit(0)
-    return tree, cycle, under
+def _resolve(df: DataFrame, node: str, parent: str, name: str, way: Callable[[Column], Column], joined: Callable[[Column, Column], Column]) -> tuple[DataFrame, DataFrame | None]:
+    """All nodes as rows of a forest, in which nodes on cycles are roots; and ``num, label`` of the latter, if any.
+    ``way`` gives what a node adds to its way, from whether it is in a tree."""
+    links = _links(df, node, parent, name)
+    lost = _unrooted(links)
+    if lost is None:
+        return _climb(links.select("num", "id", "up", way(F.lit(True)).alias("way"), F.lit(True).alias("in_tree")), joined), None
+    ends = _on_cycles(*lost)
+    marked = links.join(lost[0].select("num", F.lit(False).alias("in_tree")), "num", "left").join(ends.withColumn("ring", F.lit(True)), "num", "left")
+    marked = materialize(marked.select("num", "id", "name", "up", F.coalesce("in_tree", F.lit(True)).alias("in_tree"), F.coalesce("ring", F.lit(False)).alias("ring")), "marked")
+    cut = marked.select("num", "id", F.when(~F.col("ring"), F.col("up")).alias("up"), way(F.col("in_tree")).alias("way"), "in_tree")
+    return _climb(cut, joined), _cycle_labels(marked.filter("ring").select("num", "up"))
 
 
-def _under_tree(rows: DataFrame) -> DataFrame:
-    """Ancestor pairs within trees; ``distance`` counts the steps between the two."""
-    return rows.select(F.col("id").alias("node"), F.size("anc").alias("k"), F.posexplode("anc").alias("at", "ancestor")).select("ancestor", "node", (F.col("k") - F.col("at")).cast("long").alias("distance"))
+def _state(in_tree: Column, depth: Column) -> Column:
+    return F.when(in_tree, TREE).when(depth == 0, ON_CYCLE).otherwise(BELOW_CYCLE)
 
 
-def resolve_hierarchy(df: DataFrame, node: str = "node_id", parent: str = "parent_node_id", name: str = "name", levels_per_join: int = 8) -> DataFrame:
+def resolve_hierarchy(df: DataFrame, node: str = "node_id", parent: str = "parent_node_id", name: str = "name") -> DataFrame:
     """One row a node: ``node_id, root_node_id, depth, node_path, n_descendants, state``.
 
     A parent that is null, empty or not a node makes a root. Repeated ids count once (the least parent and name
@@ -123,33 +130,48 @@ def resolve_hierarchy(df: DataFrame, node: str = "node_id", parent: str = "paren
     reaches have state ``on_cycle`` or ``below_cycle``, empty root and path and depth -1. An empty table gives an
     empty result. Other columns of ``df`` are not read, so their names do not matter.
     """
-    tree, cycle, under = _resolve(df, node, parent, name, levels_per_join)
-    rows = tree.select("id", F.col("top").alias("root"), "depth", "path", F.lit(TREE).alias("state"))
-    pairs = _under_tree(tree)
-    if cycle is not None:
-        lost = lambda x, state: x.select("id", F.lit("").alias("root"), F.lit(-1).cast("long").alias("depth"), F.lit("").alias("path"), F.lit(state).alias("state"))
-        rows = rows.union(lost(cycle, ON_CYCLE)).union(lost(under, BELOW_CYCLE))
-        pairs = pairs.union(_under_tree(under))  # nodes on cycles get their count from the size of the component
-    counts = pairs.groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    if cycle is not None:
-        sizes = cycle.select("top").union(under.select("top")).groupBy("top").agg((F.count(F.lit(1)) - 1).alias("n"))
-        whole = cycle.select("id", "top").join(sizes, "top").select("id", "n")
-        counts = counts.join(cycle.select("id"), "id", "left_anti").union(whole)
-    return rows.join(counts, "id", "left").select(
-        F.col("id").alias("node_id"), F.col("root").alias("root_node_id"), "depth", F.col("path").alias("node_path"), F.coalesce("n", F.lit(0)).cast("long").alias("n_descendants"), "state"
-    )
+    rows, labels = _resolve(df, node, parent, name, lambda tree: F.when(tree, F.col("name")), lambda head, tail: F.concat(head, F.lit(SEPARATOR), tail))
+    rows = rows.withColumn("state", _state(F.col("in_tree"), F.col("depth")))
+    if labels is not None:
+        ring = rows.filter(F.col("state") == ON_CYCLE).join(labels, "num")
+        sizes = ring.groupBy("label").agg((F.sum(F.col("below") + 1) - 1).alias("size"))
+        rows = rows.filter(F.col("state") != ON_CYCLE).unionByName(ring.join(sizes, "label").withColumn("below", F.col("size")).select(rows.columns))
+    tree = F.col("state") == TREE
+    return rows.select(
+        F.col("id").alias("node_id"), F.when(tree, F.col("top")).otherwise("").alias("root_node_id"), F.when(tree, F.col("depth")).otherwise(F.lit(-1).cast("long")).alias("depth"),
+        F.when(tree, F.col("way")).otherwise("").alias("node_path"), F.col("below").alias("n_descendants"), "state",
+    )
+
+
+def descendants(df: DataFrame, node: str = "node_id", parent: str = "parent_node_id", name: str = "name") -> DataFrame:
+    """All pairs ``ancestor_id, node_id`` of different nodes where parents lead from the node to the ancestor.
 
+    The cases of :func:`resolve_hierarchy` hold. Every node of a cycle is above all others of its component; as
+    those pairs grow with the square of a cycle, :func:`cycle_members` gives the same as one row a node.
+    """
+    rows, labels = _resolve(df, node, parent, name, lambda tree: F.array("id"), lambda head, tail: F.concat(head, tail))
+    above = F.slice("way", F.when(F.col("in_tree"), 1).otherwise(2), F.greatest(F.size("way") - F.when(F.col("in_tree"), 1).otherwise(2), F.lit(0)))
+    pairs = rows.select(F.explode(above).alias("ancestor_id"), F.col("id").alias("node_id"))
+    if labels is None:
+        return pairs
+    members = _members(rows, labels)
+    ring = members.filter(F.col("state") == ON_CYCLE).select(F.col("node_id").alias("ancestor_id"), "cycle_id")
+    return pairs.unionByName(ring.join(members, "cycle_id").filter("ancestor_id <> node_id").select("ancestor_id", "node_id"))
 
-def descendants(df: DataFrame, node: str = "node_id", parent: str = "parent_node_id", name: str = "name", levels_per_join: int = 8) -> DataFrame:
-    """All pairs ``ancestor_id, node_id`` of different nodes where parents lead from the node to the ancestor.
 
-    The cases of :func:`resolve_hierarchy` hold. Every node of a cycle is above all others of its component.
+def _members(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    ring = rows.filter(~F.col("in_tree") & (F.col("depth") == 0)).join(labels, "num").select(F.col("id").alias("top"), "label")
+    named = ring.join(ring.groupBy("label").agg(F.min("top").alias("cycle_id")), "label").select("top", "cycle_id")
+    return rows.filter(~F.col("in_tree")).join(named, "top").select(F.col("id").alias("node_id"), "cycle_id", _state(F.col("in_tree"), F.col("depth")).alias("state"), F.col("depth").alias("distance"))
+
+
+def cycle_members(df: DataFrame, node: str = "node_id", parent: str = "parent_node_id", name: str = "name") -> DataFrame:
+    """``node_id, cycle_id, state, distance`` of each node on a cycle or below one.
+
+    ``cycle_id`` is the least id on the cycle and ``distance`` the number of steps to it, 0 on the cycle. The cases of
+    :func:`resolve_hierarchy` hold.
     """
-    tree, cycle, under = _resolve(df, node, parent, name, levels_per_join)
-    pairs = _under_tree(tree).select("ancestor", "node")
-    if cycle is not None:
-        inner = _under_tree(under).select("ancestor", "node").join(cycle.select(F.col("id").alias("ancestor")), "ancestor", "left_anti")
-        members = cycle.select("id", "top").union(under.select("id", "top")).withColumnRenamed("id", "node")
-        around = cycle.select(F.col("id").alias("ancestor"), "top").join(members, "top").filter("ancestor <> node").select("ancestor", "node")
-        pairs = pairs.union(inner).union(around)
-    return pairs.select(F.col("ancestor").alias("ancestor_id"), F.col("node").alias("node_id"))
+    rows, labels = _resolve(df, node, parent, name, lambda tree: F.lit(""), lambda head, tail: tail)
+    if labels is None:
+        return rows.limit(0).select(F.col("id").alias("node_id"), F.col("id").alias("cycle_id"), F.lit(BELOW_CYCLE).alias("state"), F.col("depth").alias("distance"))
+    return _members(rows, labels)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,24 +33,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores for work in Python, where a scan has fewer partitions than there are cores.
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work in Python, over at least as many partitions as there are cores.
+
+    A file of a single row group is one partition; only such a table, with fewer partitions than cores, is dealt out."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-    Large inputs have more partitions than cores and are left as they are, so no text is shuffled at scale."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+def spread(df: DataFrame) -> DataFrame:
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a session within one machine (a ``local`` master) gets a folder of its own, as its only
+    executor is this process; on a cluster it is an error, as no folder of one machine is seen by the others.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = getattr(spark.sparkContext, "_forgeline_scratch", None)
-        if path is None:
-            path = "file://" + tempfile.mkdtemp(prefix="spark-forgeline-")
-            spark.sparkContext._forgeline_scratch = path
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-forgeline-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
@@ -88,8 +97,8 @@ def read_together(tables: list[DataFrame]) -> DataFrame:
     return _read(tables[0].sparkSession, tables[0].schema, [p for t in tables for p in t.written_to])
 
 
-def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """``materialize`` and the number of rows, taken in the same job."""
+def materialize_counted(df: DataFrame, name: str, which: Column | None = None) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows (of those for which ``which`` holds), taken in the same job."""
     seen = Observation()
-    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    out = materialize(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")), name)
     return out, int(seen.get["n"])

@@ -39,7 +39,7 @@ def test_random_graphs_match_plain_walks(spark):
     rows = [(k, v, names[k], "x", "y", 1) for k, v in parents.items()]
     df = spark.createDataFrame(rows + rows[:9], SCHEMA)
     want, pairs = brute(parents, names)
-    assert as_dict(resolve_hierarchy(df, levels_per_join=4)) == want
+    assert as_dict(resolve_hierarchy(df)) == want
     assert {(r.ancestor_id, r.node_id) for r in descendants(df).collect()} == pairs
 
 
