@@ -3,7 +3,8 @@
 Each Arrow batch of a partition is split into words by the tokenizer's pattern; the words not met before become
 token-position rows of a DuckDB table. A recursive query joins neighbouring rows with the merge table and contracts
 the leftmost pairs of least rank of each word until no word has a pair left, then an ordered aggregation gives the
-ids. Words are independent of their text, so nothing is shuffled and every text is encoded whole.
+ids. Words are independent of their text, so nothing is shuffled and every text is encoded whole; words of any length
+are encoded in pieces whose borders are then mended exactly, so memory does not grow with them.
 """
 
 from __future__ import annotations
@@ -17,40 +18,41 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-
-from forgeline.session import spread
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the word pattern shared by the public byte-level BPE vocabularies.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words contracted in one query, symbols in one query, and words kept from batch to batch.
-WORDS_AT_ONCE, SYMBOLS_AT_ONCE, WORDS_KEPT = 20_000, 400_000, 200_000
+#: Rows that one recursive query may come to hold, the longest piece of a word that it takes, and words kept by a worker.
+ROWS_AT_ONCE, PIECE, WORDS_KEPT = 2_000_000, 64, 200_000
 
-CONTRACT = """
-WITH RECURSIVE t(word, pos, tok, step) AS (
-  SELECT word, pos, tok, 0 FROM symbols
-  UNION ALL
-  SELECT word, pos, CASE WHEN hit THEN made ELSE tok END, step + 1
+#: The query of one step: ``ready`` rows begin a pair of their word's least rank, ``ahead`` of them stand just before in
+#: one run, of which every second one gives way to its left neighbour.
+STEP = """
+  SELECT word, pos, CASE WHEN ready AND ahead % 2 = 0 THEN made ELSE tok END AS tok, step + 1 AS step
   FROM (
-    SELECT word, pos, tok, step, made, hit, coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS gone
+    SELECT word, pos, tok, made, step, ready,
+           seq - 1 - coalesce(max(CASE WHEN NOT ready THEN seq END) OVER (PARTITION BY word ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
     FROM (
-      SELECT word, pos, tok, step, made, best IS NOT NULL AND rank = best
-             AND (tok <> next OR (row_number() OVER (PARTITION BY word, rank IS NOT DISTINCT FROM best, island ORDER BY pos)) % 2 = 1) AS hit, best
+      SELECT *, rank IS NOT NULL AND rank = best AS ready
       FROM (
-        SELECT *, seq - row_number() OVER (PARTITION BY word, rank IS NOT DISTINCT FROM best ORDER BY pos) AS island
-        FROM (
-          SELECT p.word, p.pos, p.tok, p.next, p.step, p.seq, m.rank, m.made, min(m.rank) OVER (PARTITION BY p.word) AS best
-          FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next, row_number() OVER (PARTITION BY word ORDER BY pos) AS seq FROM t) p
-          LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next
-        )
+        SELECT p.*, m.rank, m.made, min(m.rank) OVER (PARTITION BY p.word) AS best
+        FROM (SELECT word, pos, tok, step, lead(tok) OVER w AS next, row_number() OVER w AS seq FROM {rows} WINDOW w AS (PARTITION BY word ORDER BY pos)) p
+        LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next
       )
+      WHERE best IS NOT NULL
     )
-    WHERE best IS NOT NULL
   )
-  WHERE NOT gone
+  WHERE ahead % 2 = 0
+"""
+
+CONTRACT = f"""
+WITH RECURSIVE t(word, pos, tok, step) AS (
+  SELECT word, pos, tok, 0 FROM symbols
+  UNION ALL
+  {STEP.format(rows="t")}
 )
 SELECT word, list(tok ORDER BY pos) AS ids
 FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM t) WHERE step = last
@@ -120,39 +122,121 @@ class _Encoder:
         l, r, rank, made = (pa.array(c) for c in bpe.merges.T)
         self.con.register("merge_rows", pa.table({"l": l, "r": r, "rank": rank, "made": made}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
+        self.tokens = bpe.tokens
         self.known: dict[str, list[int]] = {}
 
-    def _contract(self, words: list[bytes]) -> list[list[int]]:
+    def _symbols(self, words: list[bytes]) -> pa.Table:
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         flat = self.bytes[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        pos = np.arange(len(flat), dtype=np.int32)
-        self.con.register("symbols", pa.table({"word": pa.array(word), "pos": pa.array(pos), "tok": pa.array(flat)}))
-        ids = [row[1] for row in self.con.execute(CONTRACT).fetchall()]
+        return pa.table({"word": word, "pos": np.arange(len(flat), dtype=np.int32), "tok": flat})
+
+    def _contract(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of short words by the recursive query, which keeps the rows of all steps until it ends."""
+        out: list[list[int]] = []
+        at, rows = 0, 0
+        for i, w in enumerate([*words, None]):
+            n = 0 if w is None else len(w) * (len(w) + 1) // 2
+            if at < i and (w is None or rows + n > ROWS_AT_ONCE):
+                self.con.register("symbols", self._symbols(words[at:i]))
+                out += [row[1] for row in self.con.execute(CONTRACT).fetchall()]
+                self.con.unregister("symbols")
+                at, rows = i, 0
+            rows += n
+        return out
+
+    def _contract_alone(self, word: bytes) -> list[int]:
+        """The ids of one long word by the same step, a table each, of which only the last is kept."""
+        self.con.register("symbols", self._symbols([word]))
+        self.con.execute("CREATE OR REPLACE TABLE now AS SELECT word, pos, tok, 0 AS step FROM symbols")
         self.con.unregister("symbols")
-        return ids
+        while True:
+            self.con.execute(f"CREATE OR REPLACE TABLE later AS {STEP.format(rows='now')}")
+            if not self.con.execute("SELECT count(*) FROM later").fetchone()[0]:
+                return [r[0] for r in self.con.execute("SELECT tok FROM now ORDER BY pos").fetchall()]
+            self.con.execute("DROP TABLE now")
+            self.con.execute("ALTER TABLE later RENAME TO now")
+
+    def _all(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        distinct = sorted(set(words))
+        short = [w for w in distinct if len(w) <= 4 * PIECE]
+        return dict(zip(short, self._contract(short))) | {w: self._contract_alone(w) for w in distinct if len(w) > 4 * PIECE}
+
+    def _fits(self, pairs: list[tuple[int, int]]) -> dict[tuple[int, int], bool]:
+        """Whether two tokens in a row stay two tokens."""
+        both = {p: self.tokens[p[0]] + self.tokens[p[1]] for p in set(pairs)}
+        ids = self._all(list(both.values()))
+        return {p: ids[w] == list(p) for p, w in both.items()}
+
+    def _long(self, word: bytes) -> list[int]:
+        """The ids of a word of any length, in pieces.
+
+        A list of tokens is the encoding of its bytes exactly if any two neighbours are that of theirs: the first merge
+        across a border would be made between the two alone as well. So pieces are encoded one by one, and at each
+        border the tokens around it are encoded anew, twice as many each time, until their neighbours fit.
+        """
+        pieces = [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
+        ids = self._all(pieces)
+        parts = [ids[p] for p in pieces]
+        while len(parts) > 1:
+            borders, size = list(range(0, len(parts) - 1, 2)), 4
+            joined = dict.fromkeys(range(0, len(parts), 2), parts[-1])
+            while borders:
+                around = {j: (max(0, len(parts[j]) - size), min(size, len(parts[j + 1]))) for j in borders}
+                bytes_of = {j: b"".join(self.tokens[i] for i in [*parts[j][a:], *parts[j + 1][:b]]) for j, (a, b) in around.items()}
+                made = self._all(list(bytes_of.values()))
+                ends = {j: [*zip(parts[j][a - 1 : a] if a else (), made[bytes_of[j]][:1]), *zip(made[bytes_of[j]][-1:], parts[j + 1][b : b + 1])] for j, (a, b) in around.items()}
+                fits = self._fits([p for some in ends.values() for p in some])
+                for j, (a, b) in around.items():
+                    if all(fits[p] for p in ends[j]):
+                        joined[j] = parts[j][:a] + made[bytes_of[j]] + parts[j + 1][b:]
+                        borders.remove(j)
+                size *= 2
+            parts = [joined[j] for j in range(0, len(parts), 2)]
+        return parts[0]
 
     def learn(self, words: set[str]) -> None:
-        """Contract the words in groups of bounded size."""
-        group: list[str] = []
-        size = 0
-        for w in sorted(words):
-            n = len(w.encode("utf-8"))
-            if group and (len(group) >= WORDS_AT_ONCE or size + n > SYMBOLS_AT_ONCE):
-                self.known.update(zip(group, self._contract([x.encode("utf-8") for x in group])))
-                group, size = [], 0
-            group.append(w)
-            size += n
-        if group:
-            self.known.update(zip(group, self._contract([x.encode("utf-8") for x in group])))
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Contract words not met before."""
+        known = {w: w.encode("utf-8") for w in words}
+        short = sorted(w for w, b in known.items() if len(b) <= PIECE)
+        self.known.update(zip(short, self._contract([known[w] for w in short])))
+        self.known.update((w, self._long(b)) for w, b in known.items() if len(b) > PIECE)
+
+    def encode(self, texts: list[str | None]) -> Iterator[list[list[int]]]:
+        """For each text the ids of its words."""
         split = [self.words.findall(t) if t else [] for t in texts]
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         self.learn({w for words in split for w in words} - self.known.keys())
         known = self.known
-        return [[i for w in words for i in known[w]] for words in split]
+        return ([known[w] for w in words] for words in split)
+
+
+_encoders: dict[tuple[str, str], _Encoder] = {}
+
+
+def _encoder(key: tuple[str, str], bpe: ByteBpe) -> _Encoder:
+    """The encoder of this worker, kept for the partitions to come."""
+    if key not in _encoders:
+        _encoders[key] = _Encoder(bpe)
+    return _encoders[key]
+
+
+def _run_on_texts(df: DataFrame, text: str, out: StructField, tokenizer: str, folder: str, rows_at_once: int, result) -> DataFrame:
+    """``df`` with ``text`` replaced by ``out``: what ``result`` makes of the ids of each text's words."""
+    bpe = df.sparkSession.sparkContext.broadcast(load_bpe(tokenizer, folder))
+    kept = [f for f in df.schema.fields if f.name not in (text, out.name)]
+    schema, names = StructType([*kept, out]), [f.name for f in kept]
+    kind = pa.list_(pa.int32()) if isinstance(out.dataType, ArrayType) else pa.int64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(at, rows_at_once)
+                ids = _encoder((tokenizer, folder), bpe.value).encode(batch.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([result(x) for x in ids], type=kind)], names=[*names, out.name])
+
+    return df.select(*(F.col(f"`{n}`") for n in [*names, text])).mapInArrow(run, schema)
 
 
 def encode_corpus(df: DataFrame, text: str = "text", out: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, rows_at_once: int = 1000) -> DataFrame:
@@ -162,22 +246,13 @@ def encode_corpus(df: DataFrame, text: str = "text", out: str = "ids", tokenizer
     repeated rows stay repeated, and an empty table gives an empty one. The vocabulary, of fixed size, is read on
     the driver and sent to the tasks once.
     """
-    spark: SparkSession = df.sparkSession
-    bpe = spark.sparkContext.broadcast(load_bpe(tokenizer, folder))
-    kept = [f for f in df.schema.fields if f.name not in (text, out)]
-    schema = StructType([*kept, StructField(out, ArrayType(IntegerType()), False)])
-    names = [f.name for f in kept]
+    return _run_on_texts(df, text, StructField(out, ArrayType(IntegerType()), False), tokenizer, folder, rows_at_once, lambda words: [i for ids in words for i in ids])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
-                encoder = encoder or _Encoder(bpe.value)
-                ids = encoder.encode(batch.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(ids, type=pa.list_(pa.int32()))], names=[*names, out])
 
-    return spread(df.select(*(F.col(f"`{n}`") for n in [*names, text]))).mapInArrow(run, schema)
+def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, rows_at_once: int = 1000) -> DataFrame:
+    """``df`` without ``text`` and with the number of its tokens in ``out``, 0 for null and empty texts; the cases of
+    :func:`encode_corpus` hold."""
+    return _run_on_texts(df, text, StructField(out, LongType(), False), tokenizer, folder, rows_at_once, lambda words: sum(map(len, words)))
 
 
 def decode_corpus(df: DataFrame, ids: str = "ids", out: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

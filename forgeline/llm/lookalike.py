@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from forgeline.session import materialize, spread
+from forgeline.session import materialize
 
 # Letters of other scripts with the shape of a Latin letter or of a mark, in the order of the code points.
 GREEK = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ι": "ı", "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j"}
@@ -116,7 +116,7 @@ def lookalike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     empty texts are in no pair; a repeated row counts once; a text that only looks empty is compared like any other.
     """
     rows = (
-        spread(df.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter(F.col("d").isNotNull() & (F.length("t") > 0)))
+        df.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter(F.col("d").isNotNull() & (F.length("t") > 0))
         .withColumn("form", _per_distinct(look_of)(F.col("t")))
         .select("d", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("t")).alias("own"))
     )

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from forgeline.llm.encode import TOKENIZERS, encode_corpus
-from forgeline.session import materialize, spread
+from forgeline.llm.encode import TOKENIZERS, count_tokens
+from forgeline.session import materialize
 
 #: Bins of rates a source; a source misses its part by at most a bin's tokens, or one document.
 BINS = 1 << 14
@@ -37,11 +37,11 @@ def _rates(u: np.ndarray, k: int) -> np.ndarray:
     lo, hi = np.zeros_like(u), np.full_like(u, 64.0 + 4.0 * k)
     for _ in range(60):
         mid = (lo + hi) / 2
-        term = np.exp(-mid)
-        total = term.copy()
+        log_term = -mid  # in logarithms, as the first terms of high rates are too small for a float
+        total = np.exp(log_term)
         for i in range(1, k):
-            term = term * mid / i
-            total += term
+            log_term = log_term + np.log(mid / i)
+            total += np.exp(log_term)
         above = total > u
         lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
     return hi
@@ -63,7 +63,7 @@ def _sized(docs: DataFrame, targets: DataFrame, doc_id: str, text: str, source:
     )
     texts = docs.select(F.col(doc_id).alias("id"), source_key(F.col(source)).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
     # the targets have one row a source, a size fixed by the mixture and not by the corpus; Spark broadcasts what is small
-    sized = encode_corpus(spread(texts).join(want, "key"), "text", "ids", tokenizer, folder).withColumn("n_tokens", F.size("ids").cast("long")).drop("ids", "key")
+    sized = count_tokens(texts.join(want, "key"), "text", "n_tokens", tokenizer, folder).drop("key")
     return materialize(sized.withColumn("rates", rising_rates(uniform(F.col("id").cast("string"), seed=seed), F.col("most"))), "sized")
 
 
@@ -84,7 +84,7 @@ def mix_sources(
 
 
 def _mixed(sized: DataFrame, total_tokens: int | None, seed: int) -> DataFrame:
-    has = sized.groupBy("mix_source").agg(F.sum("n_tokens").alias("own"), F.first("share").alias("share"), F.first("most").alias("most"))
+    has = sized.groupBy("mix_source").agg(F.sum("n_tokens").alias("own"), F.max("share").alias("share"), F.max("most").alias("most"))
     limit = has.agg(F.min(F.col("own") * F.col("most") / F.col("share")).alias("limit"))
     if total_tokens is not None:
         limit = limit.select(F.least("limit", F.lit(float(total_tokens))).alias("limit"))
@@ -96,7 +96,7 @@ def _mixed(sized: DataFrame, total_tokens: int | None, seed: int) -> DataFrame:
     near = running.join(wanted, "mix_source").filter((F.col("so_far") <= F.col("wanted") * (1 + 1e-9)) | (F.col("so_far") - F.col("wanted") < F.col("wanted") - (F.col("so_far") - F.col("tokens"))))
     cut = near.groupBy("mix_source").agg(F.max("bin").alias("last"))
     n = F.size(F.filter("rates", lambda r: F.floor(r / (r + 1) * BINS) <= F.col("last")))
-    used = sized.join(F.broadcast(cut), "mix_source").withColumn("n", n)  # one row a source
+    used = sized.join(cut, "mix_source").withColumn("n", n)
     copies = used.filter("n > 0").select("id", F.col("mix_source").alias("source"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"), "n_tokens")
     return copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), F.col("id").cast("string"), F.col("copy_no")))
 
