@@ -2,9 +2,10 @@
 
 Merkle hashes: the blocks of a file (separated by blank lines, without white space) are the leaves, a file's hash
 is that of its blocks in order, and a directory's combines those of its children whatever their names, level by
-level from the deepest. What occurs in more than one repository is vendored: whole subtrees, files, and files of
-which shared blocks make up half (changed or shortened copies). Hashes combine by exclusive or, so that aggregates
-run map-side and no directory is gathered. Header and layout rules, on whole texts, find what a tool wrote.
+level from the deepest. What occurs in unrelated repositories is vendored: whole subtrees, files, and files of
+which shared blocks make up half (changed or shortened copies). Forks are related, so what only they share is not.
+Hashes combine by sums, so that aggregates run map-side and no directory is gathered. Besides, the directories of
+package tools are vendored. Header and layout rules, on whole texts, find what a tool wrote.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from forgeline.llm.syntax import LANGUAGES, extension
-from forgeline.session import materialize, read_together, spread
+from forgeline.session import materialize, read_together
 
 # Phrases by which tools mark their output, in English and the other languages of the corpus.
 GENERATED = re.compile(
@@ -31,16 +32,17 @@ GENERATED = re.compile(
 # File and directory names that tools give to their output.
 GENERATED_PATH = re.compile(r"(?:^|/)(?:__generated__|_generated|generated)/|_pb2(?:_grpc)?\.py$|\.(?:gen|g|generated)\.[cm]?[jt]sx?$|(?:^|/)client/models/gen_|(?:^|/)parsetab\w*\.py$", re.I)
 MINIFIED_PATH = re.compile(r"\.min\.[cm]?js$", re.I)
-# How third-party releases introduce themselves, and the directories package tools keep them in.
-VENDOR_HEADER = re.compile(r"@license\b|\bthird-party library\b|^\W*upstream:\s*\S|\bredistribution permitted\b|\blicen[sc]ed under\b|\(c\) [\w.-]+ contributors|\breleased under\b", re.I | re.M)
-RELEASE = re.compile(r"\bv?\d+\.\d+\.\d+\b")
+# The directories in which package tools keep third-party code.
 VENDOR_PATH = re.compile(r"(?:^|/)(?:node_modules|bower_components|site-packages|third_party|3rdparty|vendor|external|deps)/", re.I)
 _SKIP = re.compile(r"""(?:\s+|['"]use strict['"];?|\#!?[^\n]*|//[^\n]*|/\*.*?\*/|[rub]{0,2}\"\"\".*?\"\"\"|[rub]{0,2}'''.*?''')+""", re.S | re.I)
 _LOGIC = re.compile(r"\b(?:def|function|return|if|for|while|class|import|try|switch|await|raise|throw|yield|lambda|interface|enum|require)\b|=>")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|(?<![\w$])[-+]?\.?\d[\w.]*")
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _SERIAL = re.compile(r"[A-Za-z]_(\d+)(?![\w.])")
-LONG_LINE, SHARED_WEIGHT, LEAST_BLOCK, LEAST_SHARED, LEAST_ATOMS = 250, 0.5, 40, 100, 40
+LONG_LINE, LEAST_ATOMS = 250, 40
+#: Letters that make a block, and a file or directory, telling enough; the part of a file that must be shared; the part of
+#: a repository's files that makes it a fork.
+LEAST_BLOCK, LEAST_SHARED, SHARED_WEIGHT, FORK_SHARE = 40, 100, 0.5, 0.5
 
 
 def header(source: str) -> str:
@@ -87,7 +89,7 @@ def _numbered(source: str) -> bool:
 
 
 def layout_kind(path: str, source: str | None) -> str | None:
-    """``generated``, ``vendored`` (by its own header), ``minified``, ``data`` or None."""
+    """``generated``, ``minified``, ``data`` or None."""
     if not source or source.isspace():
         return None
     text = source.replace("\r\n", "\n")
@@ -96,8 +98,6 @@ def layout_kind(path: str, source: str | None) -> str | None:
         return "generated"
     if _minified(text, path):
         return "minified"
-    if head and VENDOR_HEADER.search(head) and RELEASE.search(head):
-        return "vendored"
     if _numbered(text):
         return "generated"
     return "data" if _is_data(text) else None
@@ -113,35 +113,53 @@ def _clean_path(path: Column) -> Column:
 
 
 def _blocks(source: Column) -> Column:
-    """The hashes and lengths of a file's blocks, without imports and short blocks, which anyone may write."""
+    """The hashes and lengths of a file's blocks, without white space and imports."""
     parts = F.split(F.regexp_replace(F.regexp_replace(source, "\r", ""), r"(?m)^(?:import|from)\b.*$", ""), r"\n[ \t]*\n(?=\S)")
     packed = F.transform(parts, lambda b: F.regexp_replace(b, r"\s+", ""))
-    return F.transform(F.filter(packed, lambda b: F.length(b) >= LEAST_BLOCK), lambda b: F.struct(F.xxhash64(b).alias("h"), F.length(b).alias("n")))
+    return F.transform(F.filter(packed, lambda b: F.length(b) > 0), lambda b: F.struct(F.xxhash64(b).alias("h"), F.length(b).alias("n")))
+
+
+def families(files: DataFrame) -> DataFrame:
+    """``repo, family``: forks and copies of one project form a family, named by its least repository.
+
+    ``files`` has ``repo, hash``. A repository belongs to the family of the repository that is the least to hold
+    more than :data:`FORK_SHARE` of its distinct files; all counts are aggregates, no two repositories are paired.
+    """
+    own = materialize(files.select("repo", "hash").distinct(), "holdings")
+    least = own.groupBy("hash").agg(F.min("repo").alias("family"))
+    held = own.join(least, "hash").groupBy("repo", "family").agg(F.count(F.lit(1)).alias("n"))
+    total = held.groupBy("repo").agg(F.sum("n").alias("all"), F.max_by("family", F.struct("n", "family")).alias("most"), F.max("n").alias("n"))
+    return total.select("repo", F.when(F.col("n") > FORK_SHARE * F.col("all"), F.col("most")).otherwise(F.col("repo")).alias("family"))
 
 
 def _in_several(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that occur in more than one repository: the least and the greatest of them differ."""
-    return rows.groupBy(key).agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).filter(F.col("lo") != F.col("hi")).select(key)
+    """The keys that occur in more than one family: the least and the greatest of them differ."""
+    return rows.groupBy(key).agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter(F.col("lo") != F.col("hi")).select(key)
 
 
-def shared_subtrees(files: DataFrame, depth: int = 24) -> DataFrame:
-    """The directories ``repo, dir`` whose Merkle hash occurs in more than one repository.
+def shared_subtrees(files: DataFrame) -> DataFrame:
+    """The directories ``repo, dir`` whose Merkle hash occurs in more than one family, from the deepest level up.
 
-    ``files`` has ``repo, path, hash``. Directories deeper than ``depth`` levels count as their ancestor there.
+    ``files`` has ``repo, path, hash`` and, if forks and short files are to be told apart, ``family`` and ``size``. A directory's hash is that of the sum and number of its children's
+    mixed hashes, so names and order do not count but repeats do. Directories with less than :data:`LEAST_SHARED`
+    letters in all their files are no evidence, as anyone may write the same few lines.
     """
+    for name, default in (("family", F.col("repo")), ("size", F.lit(LEAST_SHARED))):
+        files = files if name in files.columns else files.withColumn(name, default)
     steps = F.split("path", "/")
-    at = files.select("repo", F.least(F.size(steps) - 1, F.lit(depth)).alias("depth"), F.slice(steps, 1, F.least(F.size(steps) - 1, F.lit(depth))).alias("dir"), "hash")
+    at = materialize(files.select("repo", "family", (F.size(steps) - 1).alias("depth"), F.slice(steps, 1, F.size(steps) - 1).alias("dir"), "hash", "size"), "leaves")
     deepest = at.agg(F.max("depth").alias("d")).first()["d"] or 0
     levels: list[DataFrame] = []
     for d in range(deepest, 0, -1):
-        here = at.filter(F.col("depth") == d).select("repo", "dir", "hash")
+        here = at.filter(F.col("depth") == d).select("repo", "family", "dir", "hash", "size")
         if levels:
-            here = here.unionByName(levels[-1].select("repo", F.slice("dir", 1, d).alias("dir"), "hash"))
+            here = here.unionByName(levels[-1].select("repo", "family", F.slice("dir", 1, d).alias("dir"), "hash", "size"))
+        mixed = F.sum(F.xxhash64(F.lit(7), "hash").cast("decimal(20,0)"))
         # each level is written once, as the next one and the search for shared hashes both read it
-        levels.append(materialize(here.groupBy("repo", "dir").agg(F.xxhash64(F.bit_xor(F.xxhash64("hash")), F.count(F.lit(1))).alias("hash")), "level"))
+        levels.append(materialize(here.groupBy("repo", "family", "dir").agg(mixed.alias("mixed"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).select("repo", "family", "dir", F.xxhash64("mixed", "n").alias("hash"), "size"), "level"))
     if not levels:
         return files.select("repo", F.col("path").alias("dir")).limit(0)
-    out = read_together(levels).select("repo", F.array_join("dir", "/").alias("dir"), "hash")
+    out = read_together(levels).filter(F.col("size") >= LEAST_SHARED).select("repo", "family", F.array_join("dir", "/").alias("dir"), "hash")
     return out.join(_in_several(out, "hash"), "hash", "left_semi").select("repo", "dir").distinct()
 
 
@@ -156,13 +174,15 @@ def foreign_files(df: DataFrame, file_id: str = "file_id", repository: str = "re
         df.select(F.col(file_id).alias("file_id"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repo"), _clean_path(F.col(path)).alias("path"), F.col(source).alias("src"))
         .filter(extension(F.col("path")).isin(*LANGUAGES) & F.col("file_id").isNotNull() & (F.length("src") > 0))
     )
-    facts = materialize(spread(code).select("file_id", "repo", "path", _layout("path", "src").alias("layout"), _blocks(F.col("src")).alias("blocks")), "facts")
-    hashed = facts.filter(F.aggregate("blocks", F.lit(0), lambda a, b: a + b["n"]) >= LEAST_SHARED).select("file_id", "repo", "path", F.xxhash64(F.transform("blocks", lambda b: b["h"])).alias("hash"), "blocks")
-    by_dir = shared_subtrees(hashed.select("file_id", "repo", "path", "hash").dropDuplicates(["file_id"]))
+    facts = code.select("file_id", "repo", "path", _layout("path", "src").alias("layout"), _blocks(F.col("src")).alias("blocks")).withColumn("hash", F.xxhash64(F.transform("blocks", lambda b: b["h"])))
+    facts = materialize(facts.withColumn("size", F.aggregate("blocks", F.lit(0), lambda a, b: a + b["n"])), "facts")
+    distinct = facts.filter(F.col("size") > 0).dropDuplicates(["file_id"]).join(families(facts.filter(F.col("size") > 0)), "repo")
+    hashed = materialize(distinct.select("file_id", "repo", "family", "path", "hash", "size", "blocks"), "hashed")
+    by_dir = shared_subtrees(hashed)
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    in_dirs = hashed.filter(F.size(parts) > 1).select("file_id", "repo", F.explode(above).alias("dir")).join(by_dir, ["repo", "dir"], "left_semi").select("file_id")
-    leaves = hashed.select("file_id", "repo", F.explode("blocks").alias("b")).select("file_id", "repo", F.col("b.h").alias("h"), F.col("b.n").alias("n"))
+    in_dirs = facts.filter(F.size(parts) > 1).select("file_id", "repo", F.explode(above).alias("dir")).join(by_dir, ["repo", "dir"], "left_semi").select("file_id")
+    leaves = hashed.select("file_id", "family", F.explode("blocks").alias("b")).select("file_id", "family", F.col("b.h").alias("h"), F.col("b.n").alias("n")).filter(F.col("n") >= LEAST_BLOCK)
     several = _in_several(leaves, "h").withColumn("shared", F.lit(True))
     weight = leaves.join(several, "h", "left").groupBy("file_id").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("shared"), F.col("n")).otherwise(0)).alias("common"))
     copies = weight.filter((F.col("common") >= SHARED_WEIGHT * F.col("all")) & (F.col("common") >= LEAST_SHARED)).select("file_id")
