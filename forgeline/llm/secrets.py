@@ -2,9 +2,10 @@
 
 Literals, configuration values, URLs, headers and comments give candidate values with the name they are assigned
 to. Viterbi segmentation explains a value by words of the corpus' own dictionary; what stays unexplained is its
-residual. Under a name of a credential a long residual (for passwords also words with digits or marks) makes a
-secret; without such a name only values of known token formats are secrets. Placeholders, references and the known
-formats of hashes and ids are left out. Values may have any length and a key block reaches to its END line, however
+residual, which decides: under a name of a credential a long residual makes a secret (in passwords, which people make
+of words, digits and marks weigh more); without such a name only values of known token formats are secrets.
+Placeholders, references and labelled hashes are left out, and values of the formats of hashes and ids wherever their
+name or comment does not call them a credential. Values may have any length and a key block reaches to its END line, however
 far; quantifiers are possessive, so scans stay linear. Found places are redacted in place, so all other text stays as it is.
 """
 
@@ -50,7 +51,7 @@ _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,30}://[^\s/:@\"'`<>]*+:([^\s/@\"'`]{3,}
 _SCHEME = re.compile(r"\b(bearer|basic|token)\s+([A-Za-z0-9+/_.=~-]{8,}+)", re.I)
 _CURL = re.compile(r"\s(?:-u|--user)[ =]+[\"']?[\w.-]*:([^\s\"']{6,}+)")
 _QUOTED = re.compile(
-    r"([\"'`])((?=[^\s\"'`]*(?:[0-9!%*?#+=/@$&^~]|[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z]{8}))[^\s\"'`\\]{6,}+|[^\s\"'`\\]{6,}+(?=[\"'`][ \t]*(?:\+[ \t]*)?\\?\n[ \t]*(?:\+[ \t]*)?[\"']))\1"
+    r"([\"'`])([^\s\"'`\\]{6,}+|[^\s\"'`\\]{6,}+(?=[\"'`][ \t]*(?:\+[ \t]*)?\\?\n[ \t]*(?:\+[ \t]*)?[\"']))\1"
 )
 _JOINED = re.compile(r"\s*(?:\+\s*)?\\?\n?[ \t]*(?:\+\s*)?([\"'])([^\s\"'`\\]{2,}+)\1")
 _COMMENT_KEY = re.compile(r"\b(password|passwd|pwd|pass|passphrase|token|secret|api[ _-]?key|access[ _-]?key|key|credential)\b\s*(?:is|was|=|:|->|=>)?\s*[\"']?([^\s\"',;]{8,}+)", re.I)
@@ -63,6 +64,11 @@ _DECODED = re.compile(r"(?:b64decode|atob|base64_decode|fromBase64|Buffer\.from|
 _ENTRY = re.compile(r"\s*(?:-\s+)?(?:export\s+|set\s+)?[\"']?([A-Za-z_/][\w./:@-]*?)[\"']?\s*(?:=|:(?=\s|$)|\s(?=\S+$))\s*(.*?)\s*,?\s*$")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _DICTIONARY_WORD = re.compile(r"[A-Za-z][a-z]{2,}|[A-Z]{3,}")
+_PASSWORD_MARK = re.compile(r"[!%*?#+@$&^~=]")
+#: What ends the context of a literal: statements, and more arguments or strings than a name stands away.
+_CONTEXT_END = re.compile(r"[;}]|(?:,[^,]*){3}|(?:[\"'`][^\"'`]*){6}")
+#: Unexplained letters (and digits and marks by weight) of a password, and letters and digits of a token.
+LEAST_PASSWORD, DIGIT_WEIGHT, MARK_WEIGHT, LEAST_TOKEN = 5, 3, 2, 9
 CODE = ("py", "js", "mjs", "cjs", "jsx", "ts", "tsx")
 
 
@@ -84,13 +90,13 @@ def name_kind(name: str) -> str:
 
 
 class Segmenter:
-    """Viterbi segmentation by word costs; ``residual`` is the number of letters and digits no word explains."""
+    """Viterbi segmentation by word costs; ``unexplained`` are the numbers of letters and of digits in no word."""
 
     def __init__(self, costs: dict[str, float], unknown: float = 6.0, longest: int = 24):
         self.costs, self.unknown, self.longest = costs, unknown, longest
 
-    def residual(self, text: str) -> int:
-        total = 0
+    def unexplained(self, text: str) -> tuple[int, int]:
+        letters = digits = 0
         for part in re.findall(r"[A-Za-z0-9]+", text):
             low, n = part.lower(), len(part)
             best: list[tuple[float, int]] = [(0.0, 0)]
@@ -102,12 +108,13 @@ class Segmenter:
                     if cost is not None and (part[k + 1 : i].islower() or part[k:i].isupper()):
                         top = min(top, (best[k][0] + cost, best[k][1]))
                 best.append(top)
-            total += best[n][1]
-        return total
+            inside = sum(c.isdigit() for c in part)  # words have no digits
+            letters, digits = letters + best[n][1] - inside, digits + inside
+        return letters, digits
 
 
 def is_secret(value: str, kind: str, words: Segmenter) -> bool:
-    """Whether a value under a name of this kind is a live credential."""
+    """Whether a value under a name of this kind is a live credential: what no word of the dictionary explains decides."""
     value = value.strip()
     if len(value) < 6 or PLACEHOLDER.fullmatch(value):
         return False
@@ -115,22 +122,14 @@ def is_secret(value: str, kind: str, words: Segmenter) -> bool:
         return True
     if kind == "other" or re.match(r"[a-z][a-z0-9+.-]*://", value, re.I) or value.startswith(("./", "~/", "-----BEGIN")):
         return False
-    if value.startswith("/") and words.residual(value) < 0.5 * len(value):
-        return False
-    if HASH_FORMAT.fullmatch(value):
-        return True  # no hash is called by the name of a credential
     if LABELLED_HASH.fullmatch(value) and kind == "token" or re.search(r"[\s(){}<>;]", value):
         return False
-    digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
-    marks = len(value) - digits - letters
-    if kind == "password":
-        mixed = value.lower() != value and value.upper() != value and not value.istitle()
-        return letters >= 2 and (digits > 0 or bool(re.search(r"[!%*?#+@$&^~=]", value)) or mixed and words.residual(value) >= 6)
-    return len(value) >= 16 and digits + (mixed_case(value) and marks) > 0 and words.residual(value) >= max(9, 0.4 * len(value))
-
-
-def mixed_case(value: str) -> bool:
-    return any(c.islower() for c in value) and any(c.isupper() for c in value)
+    letters, digits = words.unexplained(value)
+    if value.startswith("/") and letters + digits < 0.5 * len(value):
+        return False
+    if kind == "password":  # people make passwords of words, so a few digits or marks are much
+        return letters + DIGIT_WEIGHT * digits + MARK_WEIGHT * len(_PASSWORD_MARK.findall(value)) >= LEAST_PASSWORD
+    return letters + digits >= max(LEAST_TOKEN, 0.4 * len(value))
 
 
 def _plain(value: str) -> str | None:
@@ -197,21 +196,29 @@ def _spans(source: str, config: bool, words: Segmenter) -> Iterator[tuple[int, i
             for m in _COMMENT_KEY.finditer(c[1]) if c else ():
                 kind = "password" if m[1].lower() in PASSWORD_WORDS else "token"
                 value = m[2].rstrip(".)")
-                if is_secret(value, "token", words) or kind == "password" and is_secret(value, "password", words) and words.residual(value) >= 6:
+                if is_secret(value, "token", words) or kind == "password" and is_secret(value, "password", words) and sum(words.unexplained(value)) >= 6:
                     start = at + c.start(1) + m.start(2)
                     yield start, start + len(value)
         at += len(line) + 1
 
 
+def _before(source: str, begin: int, at: int) -> str:
+    """The text before a literal as far back as its name may stand."""
+    size = 200
+    while at - size > begin and not _CONTEXT_END.search(source, at - size, at):
+        size *= 2
+    return source[max(begin, at - size) : at]
+
+
 def _context(source: str, at: int) -> tuple[str, bool]:
     """The kind of name that a literal at ``at`` is assigned to, and whether it is decoded there."""
     begin = source.rfind("\n", 0, at) + 1
-    before = source[max(begin, at - 200) : at]
+    before = _before(source, begin, at)
     for _ in range(2):  # a literal that begins its line belongs to what the line above leaves open
         if before.strip() or begin == 0:
             break
         begin, stop = source.rfind("\n", 0, begin - 1) + 1, begin - 1
-        above = source[max(begin, stop - 200) : stop].rstrip()
+        above = _before(source, begin, stop).rstrip()
         before = above + " " if above.endswith(("(", "=", ":", "+", "\\", "||", "??")) else ""
         if not before:
             return "other", False

@@ -8,7 +8,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from forgeline.llm import lexers, pushdown
 
@@ -57,9 +57,11 @@ def failure(extension: str, source: str | None) -> str | None:
     return kind
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(ArrayType(StringType()))
 def _failures(extension: pd.Series, source: pd.Series) -> pd.Series:
-    return pd.Series([failure(e, s) for e, s in zip(extension, source)], dtype=object)
+    """Lists of none or one failure; a filter on a plain result would make Spark judge every file twice."""
+    kinds = (failure(e, s) for e, s in zip(extension, source))
+    return pd.Series([[k] if k else [] for k in kinds], dtype=object)
 
 
 def extension(path: Column) -> Column:
@@ -74,7 +76,7 @@ def broken_files(df: DataFrame, file_id: str = "file_id", path: str = "file_path
     give no row. Of repeated rows the least kind is kept. Texts are read where they lie; only failures are shuffled.
     """
     rows = df.select(F.col(file_id).alias("file_id"), extension(F.col(path)).alias("ext"), F.col(source).alias("src")).filter(F.col("ext").isin(*LANGUAGES) & F.col("file_id").isNotNull() & (F.length("src") > 0))
-    return rows.select("file_id", _failures("ext", "src").alias("failure")).filter(F.col("failure").isNotNull()).groupBy("file_id").agg(F.min("failure").alias("failure"))
+    return rows.select("file_id", F.explode(_failures("ext", "src")).alias("failure")).groupBy("file_id").agg(F.min("failure").alias("failure"))
 
 
 def failure_rates(df: DataFrame, runs: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def failure_rates(df: DataFrame, runs: DataFrame) -> DataFrame:
         .groupBy("repository_id", names[F.col("ext")].alias("language"))
         .agg(F.count(F.lit(1)).alias("n_files"), F.count("failure").alias("n_failed"))
     )
-    reported = runs.groupBy("run_id").agg(F.first("repository_id").alias("rid"), F.max("files_failed").alias("f")).groupBy("rid").agg(F.sum("f").cast("long").alias("reported_failed"))
+    reported = runs.groupBy("run_id").agg(F.min("repository_id").alias("rid"), F.max("files_failed").alias("f")).groupBy("rid").agg(F.sum("f").cast("long").alias("reported_failed"))
     return by.join(reported, by["repository_id"] == reported["rid"], "left").select(
         "repository_id", "language", "n_files", "n_failed", F.round(F.col("n_failed") / F.col("n_files"), 6).alias("failure_rate"), "reported_failed"
     )
