@@ -58,8 +58,8 @@ def test_pairs_on_held_out_defects(spark):
     assert hits / len(want) > 0.95 and hits / len(got) > 0.95
 
 
-def test_pairs_in_languages_of_any_script():
-    model = pairs.train(sorted({(q, x) for _, q, x in _answers(random.Random(4), 400)}))
+def test_pairs_in_languages_of_any_script(spark):
+    model = pairs.train(spark.createDataFrame(sorted({(q, x) for _, q, x in _answers(random.Random(4), 400)}), "q string, a string"))
     ask = "Why does the cache keep the index in memory?"
     for answer in ("Индекс загружается сервисом, который хранит `Store` и файлы проекта.", "Ο δείκτης φορτώνεται από την υπηρεσία του έργου.", "索引由服务加载，文件保存在项目中。", "يتم تحميل الفهرس بواسطة الخدمة."):
         assert pairs.defect_of(model, ask, answer) == "language"
@@ -68,6 +68,18 @@ def test_pairs_in_languages_of_any_script():
         assert pairs.pair_features(query, answer).get("language_differs", 0.0) == 0.0
 
 
+def test_the_ngrams_decide_on_refusals(spark):
+    """Without the weights of the n-grams refusals are missed."""
+    w, limits, suspect = pairs.train(spark.createDataFrame(sorted({(q, x) for _, q, x in _answers(random.Random(4), 400)}), "q string, a string"))
+    ask = "Why does the cache keep the index in memory?"
+    refused = ["I am not able to share details on that.", "Sorry, I must decline to explain this.", "Leider kann ich darauf nicht antworten.", "Je ne suis pas en mesure de répondre à cette demande.", "No me es posible contestar eso."]
+    copied = [ask.upper(), f"You asked: {ask}", ask.rstrip("?")]
+    assert [pairs.defect_of((w, limits, suspect), ask, a) for a in refused + copied] == ["refusal"] * 5 + ["copied"] * 3
+    no_grams = w.copy()
+    no_grams[:, pairs.PAIR : pairs.DIM] = 0
+    assert sum(pairs.defect_of((no_grams, limits, suspect), ask, a) == "refusal" for a in refused) == 0
+
+
 def test_pairs_edge_cases(spark):
     schema = "response_id long, query string, answer string"
     assert pairs.broken_pairs(spark.createDataFrame([], schema)).count() == 0
