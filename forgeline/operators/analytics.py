@@ -13,7 +13,7 @@ def distinct_files(chunks: DataFrame) -> DataFrame:
     return chunks.filter("file_id is not null").groupBy("file_id").agg(
         F.min("repository_id").alias("repository_id"), F.min(clean_path(F.col("file_path"))).alias("file_path"), F.min("language").alias("language"),
         F.min("checksum").alias("checksum"), F.min(F.length("source_code")).alias("n_chars"), F.min(F.octet_length("source_code")).alias("n_bytes"),
-        F.min(F.when(F.length("source_code") > 0, F.length(F.regexp_replace("source_code", "[^\n]", "")) + 1).otherwise(0)).alias("n_lines"),
+        F.min(F.when(F.length("source_code") > 0, F.length("source_code") - F.length(F.replace("source_code", F.lit("\n"), F.lit(""))) + 1).otherwise(0)).alias("n_lines"),
     )
 
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeline.functions.text import clean_path, normalized_language
 
 
 def latest_rows(df: DataFrame, key: list[str], newest: str) -> DataFrame:
-    """Of rows with one key the newest; null times are the oldest."""
-    w = Window.partitionBy(*key).orderBy(F.desc_nulls_last(newest))
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """Of rows with one key the newest; null times are the oldest, and of equal times the row that sorts last."""
+    rest = [c for c in df.columns if c not in key]
+    best = F.max_by(F.struct(*rest), F.struct(F.col(newest).isNotNull(), newest, *[F.to_json(F.struct(c)) for c in rest if c != newest]))
+    return df.groupBy(*key).agg(best.alias("_row")).select(*key, "_row.*").select(*df.columns)
 
 
 def tenant(df: DataFrame, workspace_id: str, column: str = "workspace_id") -> DataFrame:
@@ -51,14 +51,16 @@ def status_counts(repositories: DataFrame) -> DataFrame:
 
 def valid_citations(responses: DataFrame) -> DataFrame:
     """``response_id, position, file_path, start_line, end_line, symbol_name`` of citations with a possible line range."""
-    once = responses.filter("response_id is not null").groupBy("response_id").agg(F.first("citations").alias("citations"))
+    once = responses.filter("response_id is not null").groupBy("response_id").agg(F.max_by("citations", F.to_json("citations")).alias("citations"))
     rows = once.select("response_id", F.posexplode("citations").alias("position", "c")).filter("c.start_line >= 1 and c.end_line >= c.start_line")
     return rows.select("response_id", F.col("position").cast("long").alias("position"), "c.file_path", "c.start_line", "c.end_line", "c.symbol_name")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The old rows with those of ``new`` in their place; of new rows with one key any one is kept."""
-    fresh = new.dropDuplicates(key)
+    """The old rows with those of ``new`` in their place; of new rows with one key the one that sorts last is kept."""
+    rest = [c for c in new.columns if c not in key]
+    last = F.max_by(F.struct(*rest), F.array(*[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in rest]))
+    fresh = new.groupBy(*key).agg(last.alias("_row")).select(*key, "_row.*").select(*new.columns) if rest else new.distinct()
     return old.join(fresh.select(*key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
@@ -88,8 +90,9 @@ def changed_files(before: DataFrame, after: DataFrame, key: str = "file_path", c
 
 
 class Generations:
-    """A table directory whose readers see one complete generation: a new one is staged beside it, published by
-    replacing a small pointer file, and the old one dropped. A missing or broken pointer means no table."""
+    """A table directory whose readers see one complete generation: a new one is staged beside it and published by
+    creating a pointer file of the next number, which no two writers can create. The highest pointer to a complete
+    generation holds, so at no time is there no table; older pointers and generations are dropped afterwards."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -106,30 +109,81 @@ class Generations:
             raise
         return name
 
+    def _pointers(self) -> list[tuple[int, str]]:
+        """Numbers and generations of the pointer files, the highest number first."""
+        folder = self._path(f"{self.folder}/_pointers")
+        if not self._fs.exists(folder):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)]
+        parts = [n.partition("-") for n in names if not n.startswith(".")]
+        return sorted(((int(a), b) for a, _, b in parts if a.isdigit() and b), reverse=True)
+
+    def _complete(self, generation: str) -> bool:
+        return self._fs.exists(self._path(f"{self.folder}/generation={generation}/_SUCCESS"))
+
     def publish(self, generation: str) -> None:
-        old = self.live()
-        temporary = f"{self.folder}/_pointer.{generation}"
-        self.spark.range(1).select(F.to_json(F.struct(F.lit(generation).alias("generation"))).alias("value")).coalesce(1).write.mode("overwrite").text(temporary)
-        target = self._path(f"{self.folder}/_pointer")
-        self._fs.delete(target, True)
-        if not self._fs.rename(self._path(temporary), target):
-            raise RuntimeError("the pointer could not be replaced")
-        if old and old != generation:
-            self.discard(old)
+        if not self._complete(generation):
+            raise ValueError(f"no complete generation {generation}")
+        old = self._pointers()
+        number = old[0][0] + 1 if old else 0
+        pointer = self._path(f"{self.folder}/_pointers/{number:020d}-{generation}")
+        if not self._fs.createNewFile(pointer):
+            raise RuntimeError("another generation was published at the same time")
+        for n, name in old:
+            self._fs.delete(self._path(f"{self.folder}/_pointers/{n:020d}-{name}"), False)
+            if name != generation:
+                self.discard(name)
 
     def discard(self, generation: str) -> None:
         self._fs.delete(self._path(f"{self.folder}/generation={generation}"), True)
 
     def live(self) -> str | None:
-        if not self._fs.exists(self._path(f"{self.folder}/_pointer")):
-            return None
-        try:
-            line = self.spark.read.text(f"{self.folder}/_pointer").first()
-            name = json.loads(line["value"])["generation"]
-        except (ValueError, KeyError, TypeError):
-            return None
-        return name if self._fs.exists(self._path(f"{self.folder}/generation={name}")) else None
+        return next((name for _, name in self._pointers() if self._complete(name)), None)
 
     def read(self) -> DataFrame | None:
         name = self.live()
         return None if name is None else self.spark.read.parquet(f"{self.folder}/generation={name}")
+
+
+def matching(df: DataFrame, **wanted: object) -> DataFrame:
+    """The rows whose columns equal all given values (a null value asks for null); unknown columns are an error."""
+    for name, value in wanted.items():
+        df = df.filter(F.col(name).eqNullSafe(F.lit(value)))
+    return df
+
+
+def repository_list(repositories: DataFrame, workspace_id: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of repositories, each once by its newest row, the newest first and of equals the least id."""
+    rows = tenant(repositories, workspace_id) if workspace_id is not None else repositories
+    return page(latest_rows(rows, ["id"], "updated_at"), [F.desc_nulls_last("created_at"), F.col("id")], limit, offset)
+
+
+def repository_health(repositories: DataFrame) -> DataFrame:
+    """One row ``total, indexed, failed, pending`` of the newest status of each repository."""
+    s = F.col("indexing_status")
+    now = latest_rows(repositories.select("id", "updated_at", "indexing_status"), ["id"], "updated_at")
+    return now.agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "ready").alias("indexed"), F.count_if(s == "index_failed").alias("failed"), F.count_if(s.isin("indexing", "pending")).alias("pending"))
+
+
+def repository_metrics(repositories: DataFrame, files: DataFrame) -> DataFrame:
+    """One row ``total, indexed, pending, failed, n_files, n_chunks``; a ``failed`` one counts as pending and as failed."""
+    s = F.coalesce(F.col("indexing_status"), F.lit(""))
+    now = latest_rows(repositories.select("id", "updated_at", "indexing_status", "total_chunks"), ["id"], "updated_at")
+    counts = now.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(s == "ready").alias("indexed"), F.count_if(~s.isin("ready", "index_failed", "failed_import")).alias("pending"),
+        F.count_if(s.isin("index_failed", "failed_import", "failed")).alias("failed"), F.sum("total_chunks").cast("long").alias("n_chunks"),
+    )
+    return counts.crossJoin(files.agg(F.countDistinct("file_id").alias("n_files")))  # one row each
+
+
+def embedding_progress(repositories: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row ``total_chunks, embedded, pending``: chunks as stated, of which the vectors that there are, or none."""
+    stated = latest_rows(repositories.select("id", "updated_at", "total_chunks"), ["id"], "updated_at").agg(F.coalesce(F.sum("total_chunks"), F.lit(0)).cast("long").alias("total_chunks"))
+    both = stated.crossJoin(vectors.agg(F.count(F.lit(1)).alias("embedded")))  # one row each
+    return both.select("total_chunks", "embedded", F.greatest(F.col("total_chunks") - F.col("embedded"), F.lit(0)).alias("pending"))
+
+
+def ordered_distinct(df: DataFrame, key: list[str], order: Column, value: str) -> DataFrame:
+    """``key, position, value``: each value of a key once, at the place of its first occurrence."""
+    first = df.groupBy(*key, value).agg(F.min(order).alias("position"))
+    return first.select(*key, "position", value)

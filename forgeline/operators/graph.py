@@ -73,22 +73,30 @@ def file_imports(chunks: DataFrame) -> DataFrame:
     """``repository_id, file_path, import_text`` of the imports at the top level of Python, JavaScript and TypeScript
     files, each once a file."""
     ext = path_extension(F.col("file_path"))
-    python = F.regexp_extract_all("source_code", F.lit(r"(?m)^(?:from|import)[ \t]+([.\w]+)"), F.lit(1))
-    script = F.regexp_extract_all("source_code", F.lit(r"(?m)^import\b[^'\"\n]*['\"]([^'\"\n]+)['\"]"), F.lit(1))
+    modules = F.regexp_extract_all("source_code", F.lit(r"(?m)^import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)"), F.lit(1))
+    listed = F.transform(F.split(F.array_join(modules, ","), r"[ \t]*,[ \t]*"), lambda m: F.regexp_extract(m, r"^[\w.]*", 0))
+    python = F.concat(F.regexp_extract_all("source_code", F.lit(r"(?m)^from[ \t]+([.\w]+)[ \t]+import\b"), F.lit(1)), F.filter(listed, lambda m: m != ""))
+    # an import may go over several lines up to its text
+    script = F.concat(
+        F.regexp_extract_all("source_code", F.lit(r"(?m)^(?:import|export)\b[^'\"`;()=]*['\"]([^'\"\n]+)['\"]"), F.lit(1)),
+        F.regexp_extract_all("source_code", F.lit(r"(?m)^(?:const|let|var)\b[^'\"`;()]*=\s*require\(\s*['\"]([^'\"\n]+)['\"]"), F.lit(1)),
+    )
     texts = F.when(ext == ".py", python).when(ext.isin(".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx"), script)
     return chunks.filter(F.col("repository_id").isNotNull()).select("repository_id", clean_path(F.col("file_path")).alias("file_path"), F.explode(texts).alias("import_text")).distinct()
 
 
 def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     """Each import with ``target_path``, the first file by path of the repository whose path without extension is
-    the import or ends with it, or null where it is external.
+    the import or ends with it, or null where it is external. Where ``files`` have an ``ordinal``, as they were
+    scanned, the least one is first.
 
     Dots of an import count as separators. Every ending of every path becomes a row, so the match is a hash join.
     """
     wanted = F.regexp_replace(F.regexp_replace("import_text", r"\.", "/"), "^/+|/+$", "")
     parts = F.split(path_stem(F.col("file_path")), "/")
     endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
-    table = files.select("repository_id", F.col("file_path").alias("target_path"), F.explode(endings).alias("wanted")).groupBy("repository_id", "wanted").agg(F.min("target_path").alias("target_path"))
+    place = F.struct(F.col("ordinal") if "ordinal" in files.columns else F.lit(0).alias("ordinal"), "file_path")
+    table = files.select("repository_id", place.alias("place"), F.explode(endings).alias("wanted")).groupBy("repository_id", "wanted").agg(F.min("place").getField("file_path").alias("target_path"))
     asked = imports.withColumn("wanted", wanted)
     return asked.join(table, [asked["repository_id"] == table["repository_id"], asked["wanted"] == table["wanted"], asked["wanted"] != ""], "left").select(asked["repository_id"], asked["file_path"], "import_text", "target_path")
 
@@ -218,3 +226,101 @@ def highlighted(edges: DataFrame, selected: DataFrame) -> DataFrame:
     out = edges.join(s, edges["source"] == s["node_id"]).select(F.col("target").alias("n"))
     back = edges.join(s, edges["target"] == s["node_id"]).select(F.col("source").alias("n"))
     return s.select(F.col("node_id").alias("n")).union(out).union(back).distinct().withColumnRenamed("n", "node_id")
+
+
+NODE_TYPES = ("repository", "directory", "file", "class", "function", "method", "external_symbol", "external_module")
+RELATIONSHIPS = ("CONTAINS", "DEFINED_IN", "IMPORTS", "IMPORTED_BY", "CALLS", "CALLED_BY", "INHERITS")
+
+
+def nodes_listing(nodes: DataFrame, file_path: str | None = None, symbol_name: str | None = None, node_type: str | None = None) -> DataFrame:
+    """Nodes of a file, or else of a name, or else of a type, or else all: the first that is given holds alone."""
+    if file_path is not None:
+        return nodes.filter(F.col("file_path") == file_path)
+    if symbol_name is not None:
+        return nodes.filter(F.col("name") == symbol_name)
+    if node_type is not None:
+        return nodes.filter(F.col("node_type") == _known(node_type.lower(), NODE_TYPES))
+    return nodes
+
+
+def edges_listing(edges: DataFrame, relationship: str | None = None) -> DataFrame:
+    """Edges of a relationship, named in any case and with blanks around, or all; an unknown one is an error."""
+    return edges if relationship is None else edges.filter(F.col("relationship") == _known(relationship.strip().upper(), RELATIONSHIPS))
+
+
+def _known(word: str, words: tuple[str, ...]) -> str:
+    if word not in words:
+        raise ValueError(f"{word!r} is none of {', '.join(words)}")
+    return word
+
+
+def node(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The one node of an id; a missing one is an error."""
+    row = nodes.filter(F.col("node_id") == node_id)
+    if row.isEmpty():
+        raise KeyError(node_id)
+    return row
+
+
+def serialised_nodes(nodes: DataFrame) -> DataFrame:
+    """``id, json`` of nodes as they are exchanged; fields that a table lacks are null."""
+    fields = ("repository_id", "name", "file_path", "symbol_type", "language", "start_line", "end_line", "parent_node_id", "metadata")
+    have = {f: F.col(f) if f in nodes.columns else F.lit(None).cast("string") for f in fields}
+    row = F.struct(F.col("node_id").alias("id"), have["repository_id"].alias("repository_id"), F.col("node_type").alias("type"), *[have[f].alias(f) for f in fields[1:]])
+    return nodes.select(F.col("node_id").alias("id"), F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def serialised_edges(edges: DataFrame) -> DataFrame:
+    """``source, target, json`` of edges as they are exchanged, with weight 1 where they have none."""
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    row = F.struct("source", "target", "relationship", weight.alias("weight"))
+    return edges.select("source", "target", F.to_json(row).alias("json"))
+
+
+def graph_health(nodes: DataFrame, edges: DataFrame, repositories: DataFrame) -> DataFrame:
+    """``repository_id, available, n_nodes, n_edges`` of each repository; an edge counts where its source lies."""
+    owner = nodes.select("node_id", F.col("repository_id").cast("string").alias("repository_id"))
+    n = owner.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    e = edges.join(owner, edges["source"] == owner["node_id"]).groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    asked = repositories.select(F.col("id").cast("string").alias("repository_id")).filter("repository_id is not null").distinct()
+    return asked.join(n, "repository_id", "left").join(e, "repository_id", "left").select("repository_id", F.col("n_nodes").isNotNull().alias("available"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+def external_nodes(names: DataFrame, node_type: str) -> DataFrame:
+    """One node for each ``repository_id, name`` outside of the repository, of type external_symbol or external_module."""
+    repo = F.col("repository_id")
+    once = names.filter("repository_id is not null and name is not null").select("repository_id", "name").distinct()
+    return once.select(_id("external", repo, F.lit(node_type), F.col("name")).alias("node_id"), F.lit(node_type).alias("node_type"), "repository_id", "name", F.lit(None).cast("string").alias("file_path"))
+
+
+def full_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all passes: repositories, directories, files and symbols with what contains them, imports,
+    calls and base classes, each with its inverse, and the external nodes they need.
+
+    ``symbols`` has ``repository_id, file_path, symbol_type, symbol_name, parent_symbol, start_line``; ``imports``
+    ``repository_id, file_path, import_text``; ``calls`` and ``bases`` ``repository_id, file_path, symbol_name`` with
+    ``callee`` or ``base``. A symbol's links start at its last definition in the file. An import leads to a file of
+    the repository or to an external module, a call to a symbol of the same file or to an external one, and a base
+    class always to an external one. A pair is linked as often as it is stated.
+    """
+    tree, found = file_nodes(files), symbol_nodes(symbols)
+    last = symbols.groupBy("repository_id", "file_path", "symbol_name").agg(F.max(F.coalesce("start_line", F.lit(0))).alias("line"))
+    defined = last.withColumn("node_id", _id("symbol", F.col("repository_id"), F.col("file_path"), F.col("symbol_name"), F.col("line")))
+    place = ["repository_id", "file_path", "symbol_name"]
+    outer = lambda kind, name: _id("external", F.col("repository_id"), F.lit(kind), F.col(name))
+    file_id = lambda path: _id("file", F.col("repository_id"), F.col(path))
+
+    resolved = resolve_imports(files, imports)
+    import_edges = resolved.select(file_id("file_path").alias("source"), F.when(F.col("target_path").isNotNull(), file_id("target_path")).otherwise(outer("external_module", "import_text")).alias("target"), F.lit("IMPORTS").alias("relationship"))
+    targets = defined.select("repository_id", "file_path", F.col("symbol_name").alias("callee"), F.col("node_id").alias("found"))
+    called = calls.join(defined, place).join(targets, ["repository_id", "file_path", "callee"], "left")
+    call_edges = called.select(F.col("node_id").alias("source"), F.coalesce("found", outer("external_symbol", "callee")).alias("target"), F.lit("CALLS").alias("relationship"))
+    heirs = bases.join(defined, place)
+    base_edges = heirs.select(F.col("node_id").alias("source"), outer("external_symbol", "base").alias("target"), F.lit("INHERITS").alias("relationship"))
+
+    outside = external_nodes(called.filter("found is null").select("repository_id", F.col("callee").alias("name")).union(heirs.select("repository_id", "base")), "external_symbol")
+    modules = external_nodes(resolved.filter("target_path is null").select("repository_id", F.col("import_text").alias("name")), "external_module")
+    inner = found.select("node_id", "node_type", "repository_id", "name", "file_path").distinct()
+    nodes = tree.union(inner).union(outside).union(modules)
+    within = found.select(F.col("parent_id").alias("source"), F.col("node_id").alias("target"), F.lit("CONTAINS").alias("relationship")).distinct()
+    return nodes, with_inverses(contains_edges(tree).union(within).union(import_edges).union(call_edges).union(base_edges))

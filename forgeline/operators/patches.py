@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from forgeline.functions.text import is_protected_path, is_safe_path
 
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
-MAX_BYTES = 1 << 20
+MAX_BYTES = 1_000_000
 
 
 class PatchError(ValueError):
@@ -69,11 +69,11 @@ def apply_patches(files: DataFrame, edits: DataFrame) -> DataFrame:
     Outcomes: ``applied``; ``unsafe`` and ``protected`` paths; ``repeated`` for paths with several edits; ``missing``
     files; ``conflict`` where the file's hash is not the expected one; else the reason why the diff does not fit.
     """
-    n = edits.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.first("expected_hash").alias("expected_hash"), F.first("diff").alias("diff"))
+    n = edits.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.min("expected_hash").alias("expected_hash"), F.min("diff").alias("diff"))
     both = n.join(files.select("file_path", "source_code"), "file_path", "left")
     verdict = (
         F.when(~is_safe_path(F.col("file_path")), "unsafe").when(is_protected_path(F.col("file_path")), "protected").when(F.col("n") > 1, "repeated").when(F.col("source_code").isNull(), "missing")
-        .when(F.col("expected_hash").isNotNull() & (F.sha2("source_code", 256) != F.col("expected_hash")), "conflict").when(F.octet_length("diff") > MAX_BYTES, "too large")
+        .when(F.col("expected_hash").isNotNull() & (F.sha2("source_code", 256) != F.col("expected_hash")), "conflict").when((F.octet_length("diff") > MAX_BYTES) | (F.octet_length("source_code") > MAX_BYTES), "too large")
     )
     rows = both.select("file_path", verdict.alias("outcome"), "source_code", "diff")
 
@@ -90,3 +90,15 @@ def apply_patches(files: DataFrame, edits: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["file_path", "outcome", "source_code"])
 
     return rows.mapInPandas(run, "file_path string, outcome string, source_code string")
+
+
+PROPOSAL = "struct<summary:string,edits:array<struct<file_path:string,expected_hash:string,diff:string>>>"
+
+
+def parsed_proposals(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, valid, summary, edits`` of proposals in JSON, around which one fence of code is allowed; anything else is
+    not valid and has no edits."""
+    body = F.regexp_replace(F.trim(F.col(text)), r"(?s)^```(?:json)?[ \t]*\n(.*?)\n?```$", "$1")
+    read = F.from_json(F.trim(body), PROPOSAL)
+    valid = body.rlike(r"(?s)^\s*\{.*\}\s*$") & read["edits"].isNotNull()
+    return answers.select(key, F.coalesce(valid, F.lit(False)).alias("valid"), F.when(valid, read["summary"]).alias("summary"), F.when(valid, read["edits"]).otherwise(F.array().cast("array<struct<file_path:string,expected_hash:string,diff:string>>")).alias("edits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forgeline.functions.text import estimate_tokens, lexical_bonus
+from forgeline.functions.text import estimate_tokens, is_protected_path, is_safe_path, lexical_bonus
 from forgeline.operators.vectors import nearest
 
 POOL_FACTOR, POOL_LIMIT, TOP_K, TOKEN_BUDGET = 3, 200, 5, 1200
@@ -74,6 +74,25 @@ def pack(ranked: DataFrame, budget: int | None = None) -> DataFrame:
 
 
 def render(packed: DataFrame, width: int = 800) -> DataFrame:
-    """``query_id, context``: the packed chunks as sections with their path and at most ``width`` letters of code."""
+    """``query_id, context``: an empty line, then the packed chunks as sections with their path and at most ``width``
+    letters of code."""
     part = lambda x: F.concat(F.lit("File: "), F.coalesce(x["file_path"], F.lit("")), F.lit("\n\n"), F.substring(x["code"], 1, width))
-    return packed.select("query_id", F.array_join(F.transform("chunks", part), "\n\n" + "-" * 80 + "\n\n").alias("context"))
+    return packed.select("query_id", F.concat(F.lit("\n\n"), F.array_join(F.transform("chunks", part), "\n\n" + "-" * 80 + "\n\n")).alias("context"))
+
+
+def citations(ranked: DataFrame, records: DataFrame) -> DataFrame:
+    """``query_id, rank, repository_id, file_path, symbol_name, start_line, end_line, extra`` of ranked chunks: where
+    they lie, and what else is told of them, as text."""
+    where = records.groupBy("chunk_id").agg(F.max_by(F.struct("repository_id", "start_line", "end_line", "metadata"), F.struct("start_line", "end_line", "repository_id")).alias("r"))
+    return ranked.join(where, "chunk_id").select("query_id", "rank", "r.repository_id", "file_path", "symbol_name", "r.start_line", "r.end_line", told_metadata(F.col("r.metadata")).alias("extra"))
+
+
+def told_metadata(metadata: Column) -> Column:
+    """All entries but the code as text: ``True`` and ``False`` with capitals, ``None`` for a missing value."""
+    kept = F.map_filter(metadata, lambda k, _: k != "code")
+    return F.transform_values(kept, lambda _, v: F.when(v.isNull(), "None").when(v == "true", "True").when(v == "false", "False").otherwise(v))
+
+
+def sanitised(packed_chunks: DataFrame, path: str = "file_path") -> DataFrame:
+    """Chunks of a context without those of protected or unsafe files."""
+    return packed_chunks.filter(is_safe_path(F.col(path)) & ~is_protected_path(F.col(path)))

@@ -1,8 +1,8 @@
 """Query catalogue of the core: name -> (spark, sf_dir) -> DataFrame, and the same as SQL."""
 
-from forgeline.plans import catalogue, graphs, hierarchy, pipelines, search
+from forgeline.plans import catalogue, graphs, hierarchy, maintenance, pipelines, search
 
-MODULES = [hierarchy, search, graphs, catalogue, pipelines]
+MODULES = [hierarchy, search, graphs, catalogue, maintenance, pipelines]
 
 
 def queries() -> dict:

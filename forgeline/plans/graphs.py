@@ -125,10 +125,14 @@ SQL = {
     "graph_file_nodes": f"WITH {_FILES} SELECT * FROM n",
     "graph_file_edges": f"WITH {_FILES} SELECT * FROM e",
     "graph_relationships": f"WITH {_FILES} SELECT relationship, count(*) AS n_edges FROM e GROUP BY relationship",
-    "graph_imports": f"""WITH {_FILES}, i AS (
-  SELECT DISTINCT repository_id, {_CLEAN} AS file_path, unnest(CASE WHEN lower(file_path) LIKE '%.py' THEN regexp_extract_all(source_code, '(?m)^(?:from|import)[ \\t]+([.\\w]+)', 1)
-    WHEN regexp_matches(lower(file_path), '\\.(js|mjs|cjs|jsx|ts|tsx)$') THEN regexp_extract_all(source_code, '(?m)^import\\b[^''"\\n]*[''"]([^''"\\n]+)[''"]', 1) END) AS import_text
-  FROM code_chunks WHERE repository_id IS NOT NULL
+    "graph_imports": f"""WITH {_FILES}, py AS (SELECT repository_id, {_CLEAN} AS file_path, source_code FROM code_chunks WHERE repository_id IS NOT NULL AND lower(file_path) LIKE '%.py'),
+script AS (SELECT repository_id, {_CLEAN} AS file_path, source_code FROM code_chunks WHERE repository_id IS NOT NULL AND regexp_matches(lower(file_path), '\\.(js|mjs|cjs|jsx|ts|tsx)$')),
+modules AS (SELECT repository_id, file_path, unnest(regexp_extract_all(source_code, '(?m)^import[ \\t]+([\\w.]+(?:[ \\t]+as[ \\t]+\\w+)?(?:[ \\t]*,[ \\t]*[\\w.]+(?:[ \\t]+as[ \\t]+\\w+)?)*)', 1)) AS m FROM py),
+i AS (
+  SELECT repository_id, file_path, string_split(trim(x), ' ')[1] AS import_text FROM (SELECT repository_id, file_path, unnest(string_split(replace(m, chr(9), ' '), ',')) AS x FROM modules)
+  UNION SELECT repository_id, file_path, unnest(regexp_extract_all(source_code, '(?m)^from[ \\t]+([.\\w]+)[ \\t]+import\\b', 1)) FROM py
+  UNION SELECT repository_id, file_path, unnest(regexp_extract_all(source_code, '(?m)^(?:import|export)\\b[^''"`;()=]*[''"]([^''"\\n]+)[''"]', 1)) FROM script
+  UNION SELECT repository_id, file_path, unnest(regexp_extract_all(source_code, '(?m)^(?:const|let|var)\\b[^''"`;()]*=\\s*require\\(\\s*[''"]([^''"\\n]+)[''"]', 1)) FROM script
 ), k AS (SELECT *, regexp_replace(replace(import_text, '.', '/'), '^/+|/+$', '', 'g') AS wanted FROM i), s AS (SELECT *, regexp_replace(file_path, '\\.[^./]*$', '') AS stem FROM f)
 SELECT k.repository_id, k.file_path, k.import_text, min(s.file_path) AS target_path
 FROM k LEFT JOIN s ON s.repository_id = k.repository_id AND k.wanted <> '' AND (s.stem = k.wanted OR ends_with(s.stem, '/' || k.wanted))

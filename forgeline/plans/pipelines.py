@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from forgeline.operators.chunking import extract_chunks
 from forgeline.operators.graph import symbol_nodes
-from forgeline.session import table
+from forgeline.session import table, wide_table
 from forgeline.streaming import events
 
 
 def _chunks(spark, sf_dir):
-    files = table(spark, sf_dir, "code_chunks").filter("file_id is not null").select("file_id", "repository_id", "file_path", "source_code")
+    files = wide_table(spark, sf_dir, "code_chunks").filter("file_id is not null").select("file_id", "repository_id", "file_path", "source_code")
     return extract_chunks(files)
 
 

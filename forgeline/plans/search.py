@@ -113,5 +113,5 @@ SQL = {
     "knn_threshold": f"SELECT {_ROUNDED} FROM ({_near(K)}) WHERE similarity >= 0.02",
     "retrieval_ranked": _RANKED + "SELECT query_id, chunk_id, round(similarity, 6) AS similarity, round(rank_score, 6) AS rank_score, rank FROM ranked",
     "retrieval_packed": _PACKED + "SELECT query_id, CAST(used AS BIGINT) AS tokens, cut AS truncated, CAST(len(ids) AS BIGINT) AS n_chunks, array_to_string(ids, ',') AS chunk_ids FROM done",
-    "retrieval_context": _PACKED + "SELECT query_id, array_to_string(parts, chr(10) || chr(10) || repeat('-', 80) || chr(10) || chr(10)) AS context FROM done",
+    "retrieval_context": _PACKED + "SELECT query_id, chr(10) || chr(10) || array_to_string(parts, chr(10) || chr(10) || repeat('-', 80) || chr(10) || chr(10)) AS context FROM done",
 }

@@ -42,10 +42,6 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    return df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, ``spark.checkpoint.dir``.
 

@@ -2,25 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from forgeline.functions.text import PARSED_EXTENSIONS, is_safe_path, lookup, path_extension
+from forgeline.functions.text import PARSED_EXTENSIONS, base_name, is_safe_path, lookup, path_extension
+from forgeline.session import materialize_counted, read_together
 
 # Directories that are never looked into.
 IGNORED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", ".idea")
 MAX_BYTES = 1 << 20
+#: Files whose contents a task holds at once.
+FILES_AT_ONCE = 32
+
+
+def _address(root: str) -> str:
+    """``root`` as an address; a plain path is one of a file system that all executors see."""
+    return root.rstrip("/") if "://" in root else "file://" + quote(root.rstrip("/"))
+
+
+def _listing(folders: DataFrame, base: str) -> DataFrame:
+    """``path, is_dir, n_bytes, modified_at`` of what lies directly in each folder ``path`` below ``base``, listed in
+    tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            rows = []
+            for folder in batch["path"]:
+                for x in system.get_file_info(fs.FileSelector(f"{inner.rstrip('/')}/{folder}")):
+                    rows.append((f"{folder}{x.base_name}{'/' if x.type == fs.FileType.Directory else ''}", x.type == fs.FileType.Directory, x.size, x.mtime))
+            yield pd.DataFrame(rows, columns=["path", "is_dir", "n_bytes", "modified_at"]).astype({"n_bytes": "Int64"})
+
+    return folders.mapInPandas(run, "path string, is_dir boolean, n_bytes long, modified_at timestamp")
 
 
 def listed_files(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """``file_path, n_bytes, modified_at`` below ``root``; contents are not read. Hidden files are listed too."""
-    base = root.rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    plain = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    inner = F.substring_index(plain, base.split("://")[-1].rstrip("/") + "/", -1)
-    listed = rows.select(inner.alias("file_path"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"), F.col("path").alias("_path"))
-    directories = F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0)))
-    return listed.filter(~F.arrays_overlap(directories, F.array(*map(F.lit, ignored))))
+    """``file_path, n_bytes, modified_at`` below ``root``, a folder of a shared file system; contents are not read.
+
+    Folders are listed level by level, a level's folders side by side in tasks, and ignored ones are not entered.
+    Names that begin with a dot or an underscore are listed like all others.
+    """
+    folders, n = spark.createDataFrame([("",)], "path string"), 1
+    levels: list[DataFrame] = []
+    while n:
+        found = _listing(folders.repartition(spark.sparkContext.defaultParallelism, "path"), _address(root))
+        kept = found.filter(~F.col("is_dir") | ~base_name(F.rtrim("path", F.lit("/"))).isin(*ignored))
+        level, n = materialize_counted(kept, "listing", F.col("is_dir"))
+        levels.append(level)
+        folders = level.filter("is_dir").select("path")
+    return read_together(levels).filter("not is_dir").select(F.col("path").alias("file_path"), "n_bytes", "modified_at")
 
 
 def parse_plan(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -32,16 +69,26 @@ def parse_plan(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """``file_path, language, n_bytes, checksum, source_code`` of the files to parse. The size is a filter on the
+    """``file_path, language, n_bytes, checksum, source_code`` of the files to parse. The size is known from the
     listing, so larger files are never read; bytes that are no UTF-8 become U+FFFD."""
-    base = root.rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).filter(F.col("length") <= max_bytes)
-    inner = F.substring_index(F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/"), base.split("://")[-1].rstrip("/") + "/", -1)
-    named = rows.select(inner.alias("file_path"), F.col("length").alias("n_bytes"), "content")
-    parts = F.split("file_path", "/")
-    kept = named.filter(~F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, ignored))))
-    language = lookup(PARSED_EXTENSIONS, path_extension(F.col("file_path")))
-    return kept.filter(language.isNotNull()).select("file_path", language.alias("language"), "n_bytes", F.sha2("content", 256).alias("checksum"), F.expr("make_valid_utf8(string(content))").alias("source_code"))
+    base = _address(root)
+    plan = parse_plan(listed_files(spark, root, ignored), max_bytes).filter("outcome = 'parse'").select("file_path", "language", "n_bytes")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for at in range(0, len(batch), FILES_AT_ONCE):
+                part = batch.iloc[at : at + FILES_AT_ONCE]
+                contents = []
+                for path in part["file_path"]:
+                    with system.open_input_stream(f"{inner.rstrip('/')}/{path}") as f:
+                        contents.append(f.read())
+                yield part.assign(content=contents)
+
+    read = plan.repartition(spark.sparkContext.defaultParallelism, "file_path").mapInPandas(run, StructType([*plan.schema.fields, StructField("content", BinaryType())]))
+    return read.select("file_path", "language", "n_bytes", F.sha2("content", 256).alias("checksum"), F.expr("make_valid_utf8(string(content))").alias("source_code"))
 
 
 def run_summary(plan: DataFrame, failed: DataFrame | None = None) -> DataFrame:

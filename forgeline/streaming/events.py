@@ -34,11 +34,11 @@ def first_of_each(stream: DataFrame, at: str, key: str, within: str = "1 hour")
     return timed(stream, at, within).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_end(result: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query over all there is, into a table of the shared folder, and read that. With ``append``
-    the windows that the watermark has closed are in it; ``complete`` goes through memory and is for tests."""
+def run_to_end(result: DataFrame, name: str) -> DataFrame:
+    """Run a streaming query over all there is, into a table of the shared folder, and read that: the windows that
+    the watermark has closed."""
     spark = result.sparkSession
     out = scratch_path(spark, name)
-    query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, name + "-state")).outputMode(mode).trigger(availableNow=True).start()
+    query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, name + "-state")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(out)

@@ -130,6 +130,45 @@ def test_sources(spark, tmp_path):
         repository.file_content(plan, "../x")
 
 
+def test_scan_sees_hidden_names_and_prunes(spark, tmp_path):
+    for path in ("pkg/__init__.py", "pkg/_util.py", ".hidden.py", "__tests__/a.test.ts", "_private/.deep/x.py", "pkg/build/no.py", "dist/no.py", "a b/ü.py"):
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x = 1\n")
+    (tmp_path / "empty").mkdir()
+    seen = {r.file_path for r in repository.listed_files(spark, str(tmp_path)).collect()}
+    assert seen == {"pkg/__init__.py", "pkg/_util.py", ".hidden.py", "__tests__/a.test.ts", "_private/.deep/x.py", "a b/ü.py"}
+    assert {r.file_path for r in repository.read_sources(spark, f"file://{tmp_path}").collect()} == seen
+    assert repository.listed_files(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_generations_survive_a_broken_publication(spark, tmp_path):
+    g = catalog.Generations(spark, f"file://{tmp_path}/t")
+    first = g.stage(spark.range(3))
+    g.publish(first)
+    (tmp_path / "t/_pointers/00000000000000000009-nothing").touch()  # a pointer without a generation
+    assert g.live() == first and g.read().count() == 3
+    with pytest.raises(ValueError):
+        g.publish("nothing")
+    second = g.stage(spark.range(4))
+    g.publish(second)
+    assert g.live() == second
+
+
+def test_requirement_grammar():
+    read = lambda line: list(manifests._requirement(line, "runtime"))
+    assert read('name[a,b] >= 1.2, < 2 ; python_version < "3.9"  # note')[0][1:3] == ("name", ">= 1.2, < 2")
+    assert read("plain")[0][1:3] == ("plain", "") and read("x @ https://host/x.whl")[0][1:3] == ("x", "https://host/x.whl")
+    assert not read("-r other.txt") and not read("git+https://host/x") and not read("./local") and not read("# note") and not read("")
+
+
+def test_proposals(spark):
+    good = '{"summary": "s", "edits": [{"file_path": "a.py", "expected_hash": null, "diff": "@@"}]}'
+    rows = [(1, good), (2, f"```json\n{good}\n```"), (3, good[:-2]), (4, None), (5, "[]"), (6, ""), (7, '{"summary": "s"}')]
+    got = {r.k: (r.valid, len(r.edits)) for r in patches.parsed_proposals(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    assert got == {1: (True, 1), 2: (True, 1)} | {k: (False, 0) for k in range(3, 8)}
+
+
 PY = "import os\n\n@wrap\nclass Service:\n    def run(self):\n        def nested():\n            pass\n\n    async def helper(self):\n        pass\n\ndef public_api():\n    return '''\ndef no(): pass\n'''\n"
 TS = "import x from 'y';\nexport interface User { id: string }\nenum Kind { A }\nexport async function load(a: string): Promise<void> {\n  if (a) { return; } // }\n}\nexport default class Store {\n  private items = new Map();\n  constructor(a) {}\n  async get(id: string): Promise<string> {\n    return `${id}}`;\n  }\n}\nconst add = (a: number) => {\n  return a;\n};\nconst two = 2;\n"
 

@@ -107,3 +107,25 @@ def test_edges_checks_and_symbols(spark):
     assert got == {"symbol:1:f.py:C:1": ("class", "file:1:f.py"), "symbol:1:f.py:C:9": ("class", "file:1:f.py"), "symbol:1:f.py:m:10": ("method", "symbol:1:f.py:C:9"), "symbol:1:f.py:E:0": ("class", "file:1:f.py")}
     one = graph.graph_statistics(spark.createDataFrame([("a",)], "node_id string"), spark.createDataFrame([], EDGE)).first()
     assert (one.n_nodes, one.density, one.n_isolated, one.n_components) == (1, 0.0, 1, 1)
+
+
+def test_listings_and_lookups(spark):
+    nodes = spark.createDataFrame([("a", "file", "r", "x", "p"), ("b", "class", "r", "y", "p")], "node_id string, node_type string, repository_id string, name string, file_path string")
+    edges = spark.createDataFrame([("a", "b", "CONTAINS")], "source string, target string, relationship string")
+    assert graph.nodes_listing(nodes, None, "y", "file").count() == 1 and graph.nodes_listing(nodes).count() == 2
+    assert graph.edges_listing(edges, " contains ").count() == 1 and graph.node(nodes, "a").count() == 1
+    for wrong in (lambda: graph.nodes_listing(nodes, None, None, "thing"), lambda: graph.edges_listing(edges, "LIKES")):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(KeyError):
+        graph.node(nodes, "z")
+
+
+def test_imports_over_several_lines(spark):
+    source = "import {\n  a,\n  b,\n} from './lib/x';\nimport './side';\nexport * from './y';\nconst z = require('z');\n"
+    rows = [(1, "src/m.ts", source), (1, "n.py", "import os, sys as s\nfrom a.b import (\n c)\n"), (1, "e.py", None)]
+    got = {(r.file_path, r.import_text) for r in graph.file_imports(spark.createDataFrame(rows, "repository_id long, file_path string, source_code string")).collect()}
+    assert got == {("src/m.ts", t) for t in ("./lib/x", "./side", "./y", "z")} | {("n.py", t) for t in ("os", "sys", "a.b")}
+    files = spark.createDataFrame([(1, "b/u.py", 0), (1, "a/u.py", 1)], "repository_id long, file_path string, ordinal long")
+    asked = spark.createDataFrame([(1, "n.py", "u")], "repository_id long, file_path string, import_text string")
+    assert graph.resolve_imports(files, asked).first()["target_path"] == "b/u.py"

@@ -59,4 +59,4 @@ def test_packing_skips_what_does_not_fit_and_goes_on(spark):
     got = {r.query_id: (r.tokens, r.truncated, [c.chunk_id for c in r.chunks]) for r in packed.collect()}
     assert got == {1: (15, True, ["a", "c"]), 2: (1, False, ["d"])}
     text = {r.query_id: r.context for r in retrieval.render(packed).collect()}
-    assert text[1] == "File: p\n\n" + "x" * 40 + "\n\n" + "-" * 80 + "\n\nFile: \n\n" + "y" * 20
+    assert text[1] == "\n\nFile: p\n\n" + "x" * 40 + "\n\n" + "-" * 80 + "\n\nFile: \n\n" + "y" * 20
