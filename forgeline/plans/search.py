@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from forgeline.operators import retrieval
-from forgeline.operators.vectors import nearest
+from forgeline.operators.vectors import fitted_cells, nearest, nearest_in_cells, probes_needed, recall
 from forgeline.session import table
 
 K = 15
@@ -37,6 +37,27 @@ def knn_threshold(spark, sf_dir):
     return _round(nearest(v, _asking(v), K).filter("similarity >= 0.02"), "distance", "similarity")
 
 
+def _by_index(v):
+    centres = fitted_cells(v)
+    return nearest_in_cells(v, _asking(v), centres, K, probes_needed(v, centres, K))
+
+
+def knn_indexed(spark, sf_dir):
+    return _round(_by_index(table(spark, sf_dir, "embeddings")), "distance", "similarity")
+
+
+def knn_recall(spark, sf_dir):
+    """How much of the exact search the index finds; the check against brute force."""
+    v = table(spark, sf_dir, "embeddings")
+    return recall(_by_index(v), nearest(v, _asking(v), K))
+
+
+def knn_by_text(spark, sf_dir):
+    """Keys of text, as chunks have them."""
+    v = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.concat(F.lit("chunk-"), F.col("vec_id").cast("string")))
+    return _round(nearest(v, v.filter("vec_id like '%00' or vec_id = 'chunk-0'"), K), "distance", "similarity")
+
+
 def _records(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("vec_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("code"), F.col("file_path"), F.col("source").alias("symbol_name"))
@@ -62,7 +83,7 @@ def retrieval_context(spark, sf_dir):
     return retrieval.render(retrieval.pack(_ranked(spark, sf_dir), 400))
 
 
-QUERIES = {f.__name__: f for f in (knn_batch, knn_filtered, knn_post_filter, knn_threshold, retrieval_ranked, retrieval_packed, retrieval_context)}
+QUERIES = {f.__name__: f for f in (knn_batch, knn_filtered, knn_post_filter, knn_threshold, knn_indexed, knn_recall, knn_by_text, retrieval_ranked, retrieval_packed, retrieval_context)}
 
 _DIST = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))))"
 
@@ -108,6 +129,7 @@ _PACKED = (
 
 SQL = {
     "knn_batch": f"SELECT {_ROUNDED} FROM ({_near(K)})",
+    "knn_by_text": f"SELECT * REPLACE ('chunk-' || query_id AS query_id, 'chunk-' || vec_id AS vec_id) FROM (SELECT {_ROUNDED} FROM ({_near(K)}))",
     "knn_filtered": f"SELECT {_ROUNDED} FROM ({_near(5, 'v.label = 1')})",
     "knn_post_filter": f"SELECT {_ROUNDED}, label FROM ({_near(K)}) JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) WHERE label = 1",
     "knn_threshold": f"SELECT {_ROUNDED} FROM ({_near(K)}) WHERE similarity >= 0.02",

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,23 @@ def test_packing_skips_what_does_not_fit_and_goes_on(spark):
     assert got == {1: (15, True, ["a", "c"]), 2: (1, False, ["d"])}
     text = {r.query_id: r.context for r in retrieval.render(packed).collect()}
     assert text[1] == "\n\nFile: p\n\n" + "x" * 40 + "\n\n" + "-" * 80 + "\n\nFile: \n\n" + "y" * 20
+
+
+def test_index_finds_what_the_exact_search_finds(spark):
+    from forgeline.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8)) * 4
+    points = centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 8))
+    rows = [(f"k{i}", [float(np.float32(x)) for x in p]) for i, p in enumerate(points)] + [("short", [1.0, 2.0]), ("none", None), ("empty", []), (None, [0.0] * 8)]
+    v = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    q = v.filter("vec_id like '%00'")
+    exact = V.nearest(v, q, 10)
+    found = V.nearest_in_cells(v, q, V.fitted_cells(v, 12, 500), 10, 4)
+    r = V.recall(found, exact).first()
+    assert r.n_exact == 140 and r.recall >= 0.9
+    assert exact.filter("query_id = 'k100' and rank = 1").first()["vec_id"] == "k100"
+    assert 1 <= V.probes_needed(v, V.fitted_cells(v, 12, 500), 10) <= 12
+    everything = V.nearest_in_cells(v, q, V.fitted_cells(v, 12, 500), 10, 12)
+    assert V.recall(everything, exact).first().recall == 1.0
+    assert V.nearest_in_cells(v.limit(0), q.limit(0), V.fitted_cells(v.limit(0)), 3).count() == 0
