@@ -23,15 +23,15 @@ from pyspark.sql.types import StringType
 from forgeline.session import materialize
 
 # Letters of other scripts with the shape of a Latin letter or of a mark, in the order of the code points.
-GREEK = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ι": "ı", "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j"}
+GREEK = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "α": "a", "ι": "ı", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "ϳ": "j"}
 CYRILLIC = {
     "Ѕ": "S", "І": "I", "Ј": "J", "А": "A", "В": "B", "Е": "E", "З": "3", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "Ү": "Y", "ү": "y", "һ": "h", "Һ": "H", "Ӏ": "I", "ӏ": "l", "Ԁ": "D", "ԁ": "d", "Ԍ": "G", "ԛ": "q", "Ԛ": "Q", "ԝ": "w", "Ԝ": "W", "Ү": "Y",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "Ү": "Y", "ү": "y", "һ": "h", "Һ": "H", "Ӏ": "I", "ӏ": "l", "Ԁ": "D", "ԁ": "d", "Ԍ": "G", "ԛ": "q", "Ԛ": "Q", "ԝ": "w", "Ԝ": "W",
 }
 ARMENIAN = {"Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "օ": "o", "զ": "q"}
 CHEROKEE = {"Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏼ": "B"}
-LATIN = {"ɑ": "a", "ɡ": "g", "ı": "ı", "ǃ": "!", "ʼ": "'", "ˈ": "'"}
-MARKS = {"‐": "-", "‑": "-", "‒": "-", "–": "–", "−": "-", "⁃": "-", "∕": "/", "⁄": "/", "∶": ":", "꞉": ":", "׃": ":", "․": ".", "‚": ",", "‹": "‹", "∗": "*", "⁎": "*", "∼": "~", "˜": "~", "ǀ": "|", "∣": "|", "’": "’"}
+LATIN = {"ɑ": "a", "ɡ": "g", "ǃ": "!", "ʼ": "'", "ˈ": "'"}
+MARKS = {"‐": "-", "‑": "-", "‒": "-", "−": "-", "⁃": "-", "∕": "/", "⁄": "/", "∶": ":", "꞉": ":", "׃": ":", "․": ".", "‚": ",", "∗": "*", "⁎": "*", "∼": "~", "˜": "~", "ǀ": "|", "∣": "|"}
 # Compatibility kinds of the Unicode character data whose looks are the plain one.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 LIGATURES = range(0xFB00, 0xFB07)

@@ -633,11 +633,7 @@ class Automaton:
         name = token == "a" or token in self.contextual
         if token == "*":
             token = "mul"
-        turns = 0
         while stack:
-            turns += 1
-            if turns > 200:
-                return False
             if token == "NL" and (stack[-1] == "NB" or stack[-1][:2] == "B|"):
                 return True
             top = stack.pop()

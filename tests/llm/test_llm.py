@@ -358,7 +358,7 @@ def test_rates_invert_the_distribution():
 
 
 # ---------------------------------------------------------------- problem 8
-SAME = [("file name", "ﬁle name"), ("naïve", "nai\u0308ve"), ("ABC 12!", "ＡＢＣ　１２！"), ("cost a", "с\u043est а"), ("a b", "a\u00a0b"), ("word", "wo\u200brd"), ("soft", "so\u00adft"), ("ё", "е\u0308"), ("Ä", "\u0410\u0308"), ("a\nb", "a\r\nb"), ("x y", "x\u2007y"), ("BEEP", "ΒЕЕΡ")]
+SAME = [("file name", "ﬁle name"), ("naïve", "nai\u0308ve"), ("ABC 12!", "ＡＢＣ　１２！"), ("cost a", "с\u043est а"), ("a b", "a\u00a0b"), ("word", "wo\u200brd"), ("soft", "so\u00adft"), ("ё", "е\u0308"), ("Ä", "\u0410\u0308"), ("a\nb", "a\r\nb"), ("x y", "x\u2007y"), ("BEEP", "ΒЕЕΡ"), ("paper", "ραρer")]
 OTHER = [("cafe", "café"), ("Word", "word"), ("x2", "x²"), ("10", "I0"), ("a b", "a  b"), ("end.", "end"), ("a", "á")]
 
 
