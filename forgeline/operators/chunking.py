@@ -27,10 +27,11 @@ _TYPE_OPENS = frozenset("=> | & ? : is keyof extends typeof asserts infer readon
 _CASE = re.compile(r"\b(?:case\b[^;{}]*|default\s*):$")
 _PAIRED = {")": "(", "]": "[", "}": "{"}
 ANONYMOUS = "<anonymous>"
+_DEFINITION = re.compile(r"(class|def|async\s+def)\s+(\w+)")
 _NO_METHOD = frozenset("if for while switch catch with return function await".split())
 
 
-def _python_chunks(source: str) -> list[tuple]:
+def _python_chunks(source: str, top: str | None = None) -> list[tuple]:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         tree = ast.parse(source)
@@ -46,7 +47,33 @@ def _python_chunks(source: str) -> list[tuple]:
             else:
                 walk(child, owner)
 
-    walk(tree, None)
+    walk(tree, top)
+    return out
+
+
+def _healthy_chunks(lines: list[str], before: int = 0, top: str | None = None) -> list[tuple]:
+    """What can be told of a Python file that does not parse: each statement at the outer indentation is taken alone; of
+    a broken definition its head is kept, and its body is looked through in the same way."""
+    full = [x for x in lines if x.strip()]
+    margin = min((len(x) - len(x.lstrip()) for x in full), default=0)
+    starts = [i for i, x in enumerate(lines) if x.strip() and len(x) - len(x.lstrip()) == margin and x[margin] not in ")]}#" and not (i and lines[i - 1].startswith("@", margin))]
+    out: list[tuple] = []
+    for start, end in zip(starts, [*starts[1:], len(lines)]):
+        while end > start + 1 and not lines[end - 1].strip():
+            end -= 1
+        part = [x[margin:] for x in lines[start:end]]
+        try:
+            out += [(kind, name, owner, before + start + a, before + start + b) for kind, name, owner, a, b in _python_chunks("\n".join(part), top)]
+        except (SyntaxError, ValueError, RecursionError):
+            head = next(((i, m) for i, x in enumerate(part) if (m := _DEFINITION.match(x))), None)
+            if head is None:
+                continue
+            i, m = head
+            is_class = m[1] == "class"
+            out.append(("class" if is_class else "method" if top else "function", m[2], top, before + start + 1, before + end))
+            body = part[i + 1 :]
+            if any(x.startswith((" ", "\t")) for x in body):
+                out += _healthy_chunks([x if x.startswith((" ", "\t")) else "" for x in body], before + start + i + 1, m[2] if is_class else top)
     return out
 
 
@@ -262,14 +289,15 @@ def _script_chunks(source: str, typescript: bool) -> list[tuple]:
 
 
 def chunks_of(language: str | None, source: str | None) -> list[tuple] | None:
-    """``(symbol_type, symbol_name, parent_symbol, start_line, end_line)`` in order; None where the file does not parse."""
+    """``(symbol_type, symbol_name, parent_symbol, start_line, end_line)`` in order; of a Python file that
+    does not parse those of its healthy part, None where there are none and for other languages."""
     if not source:
         return []
     text = source.replace("\r\n", "\n").replace("\r", "\n")
     try:
         return _python_chunks(text.removeprefix("﻿")) if language == "python" else _script_chunks(text, language == "typescript")
     except (SyntaxError, ValueError, RecursionError):
-        return None
+        return _healthy_chunks(text.removeprefix("﻿").split("\n")) or None if language == "python" else None
 
 
 def extract_chunks(files: DataFrame, key: str = "file_id") -> DataFrame:
@@ -277,7 +305,8 @@ def extract_chunks(files: DataFrame, key: str = "file_id") -> DataFrame:
     chunk_key, checksum`` of all chunks.
 
     ``files`` has ``key, repository_id, file_path, source_code``. Lines count from 1 and both ends belong to the
-    chunk, decorators and ``export`` too. Other languages, null sources and files that do not parse give no row.
+    chunk, decorators and ``export`` too. Other languages, null sources give no row, and of Python files that do not
+    parse the healthy definitions are kept.
     """
     language = lookup(PARSED_EXTENSIONS, path_extension(F.col("file_path")))
     rows = files.select(F.col(key).cast("long").alias(key), "repository_id", clean_path(F.col("file_path")).alias("file_path"), language.alias("language"), "source_code").filter("language is not null and length(source_code) > 0")

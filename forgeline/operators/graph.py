@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeline.functions.text import base_name, clean_path, path_extension, path_prefixes, path_stem
-from forgeline.session import materialize, materialize_counted, read_together
+from forgeline.session import materialize, materialize_counted, materialize_observed, read_together
 
 # Relationships with an inverse, and the kinds of nodes that symbols become.
 INVERSES = {"IMPORTS": "IMPORTED_BY", "CALLS": "CALLED_BY", "CONTAINS": "DEFINED_IN"}
@@ -179,15 +179,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     while True:
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, "star")
+        large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("a"), "m").union(low.select("u", "m")).filter("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
-        star, n = materialize_counted(small, "star")
-        sums = star.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]
-        if (n, sums) == before:
+        star, seen = materialize_observed(small, "star", F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum"))
+        if seen == before:
             break
-        before = (n, sums)
+        before = seen
     roots = star.groupBy("u").agg(F.min("v").alias("m"))
     return ids.distinct().join(roots, F.col("node_id") == F.col("u"), "left").select("node_id", F.coalesce("m", "node_id").alias("component"))
 

@@ -6,6 +6,7 @@ from forgeline.functions import text as T
 from forgeline.operators import analytics, catalog, graph, manifests, patches, retrieval
 from forgeline.plans.graphs import _given
 from forgeline.session import scratch_path, table
+from forgeline.sources import repository
 
 
 def _files(spark, sf_dir):
@@ -122,6 +123,47 @@ def manifest_dependencies(spark, sf_dir):
     return manifests.merged_dependencies(manifests.dependencies(files)).select("repository_id", "ecosystem", "source_file", "name", "installed", "scope")
 
 
+def dependencies_enriched(spark, sf_dir):
+    """Parts as packages beside the facts that a registry has of two thirds of them, in other letters."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    deps = p.select(key.alias("part"), F.lit("pypi").alias("ecosystem"), F.concat(F.lit("Pkg-"), key.cast("string")).alias("name"), F.concat((key % 5).cast("string"), F.lit(".1")).alias("installed"))
+    faults = F.array_repeat(F.lit("advisory"), (F.col("p_size") % 9 == 0).cast("int"))
+    facts = p.filter(key % 3 > 0).select(F.lit("PyPI").alias("ecosystem"), F.concat(F.lit("pkg-"), key.cast("string")).alias("name"), F.concat((F.col("p_size") % 5).cast("string"), F.lit(".1.0")).alias("latest"), faults.alias("vulnerabilities"))
+    return manifests.enriched(deps, facts).select("part", "latest", F.col("n_vulnerabilities").cast("long").alias("n_vulnerabilities"), "status")
+
+
+def advisories(spark, sf_dir):
+    """Parts as advisory records in JSON, read back as levels and versions."""
+    p = table(spark, sf_dir, "part")
+    record = F.to_json(F.struct(
+        F.array(F.struct((F.col("p_size") % 11).cast("string").alias("score"))).alias("severity"),
+        F.array(F.struct(F.array(F.col("p_brand")).alias("versions"), F.array(F.struct(F.array(F.struct(F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("fixed"))).alias("events"))).alias("ranges"))).alias("affected"),
+    ))
+    rows = manifests.vulnerability_rows(p.select(F.col("p_partkey").alias("id"), record.alias("record")))
+    return rows.select("id", "severity", F.array_join("affected_versions", ",").alias("affected"), F.array_join("fixed_versions", ",").alias("fixed"))
+
+
+def patched_files(spark, sf_dir):
+    """Documents as small files with a diff each, of which some meet another content, another hash or a protected path."""
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id").distinct()
+    n, path = F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("keys/k"), F.col("doc_id").cast("string"), F.lit(".pem"))).otherwise(F.concat(F.lit("docs/d"), F.col("doc_id").cast("string")))
+    files = d.select(path.alias("file_path"), F.concat(F.lit("head\n"), n, F.lit("\nend\n")).alias("source_code"))
+    old = F.when(F.col("doc_id") % 7 == 0, F.lit("other")).otherwise(n)
+    diff = F.concat(F.lit("--- a/f\n+++ b/f\n@@ -1,3 +1,4 @@\n head\n-"), old, F.lit("\n+new "), n, F.lit("\n+more\n end\n"))
+    edits = d.select(path.alias("file_path"), F.when(F.col("doc_id") % 5 == 0, F.lit("0" * 64)).alias("expected_hash"), diff.alias("diff"))
+    return patches.apply_patches(files, edits)
+
+
+def scanned_files(spark, sf_dir):
+    """The files of code_chunks, written to a folder each under its id, and scanned: listing, pruning, size, contents."""
+    c = table(spark, sf_dir, "code_chunks").filter("file_id is not null and length(source_code) > 0")
+    once = c.groupBy("file_id").agg(F.min(T.clean_path(F.col("file_path"))).alias("file_path"), F.min("source_code").alias("source_code")).filter(T.is_safe_path(F.col("file_path")))
+    folder = scratch_path(spark, "scan")
+    repository.write_files(once.select(F.concat_ws("/", F.col("file_id").cast("string"), "file_path").alias("file_path"), "source_code"), folder).count()
+    return repository.read_sources(spark, folder).select("file_path", "language", "n_bytes", "checksum")
+
+
 def formatted_sizes(spark, sf_dir):
     return _sizes(spark, sf_dir).select("file_id", T.format_bytes(F.col("n_bytes")).alias("size"))
 
@@ -250,7 +292,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         files_upsert, files_changed, files_of_generation, delete_repositories, delete_cascaded, clear_files, repository_page, tenant_repositories, repository_lookup, import_decisions, repository_health, repository_metrics,
-        embedding_progress, severity_counts, version_status, manifest_dependencies, formatted_sizes, embeddable_documents, tree_visible, told_metadata, cited_lines, context_sanitised, proposals, errors_in_order, nodes_of_type, nodes_by_precedence,
+        embedding_progress, severity_counts, version_status, manifest_dependencies, dependencies_enriched, advisories, patched_files, scanned_files, formatted_sizes, embeddable_documents, tree_visible, told_metadata, cited_lines, context_sanitised, proposals, errors_in_order, nodes_of_type, nodes_by_precedence,
         edges_of_kind, graph_neighbours, graph_dangling, graph_repeated, graph_serialised, graph_health, graph_full_nodes, graph_full_edges,
     )
 }
@@ -313,6 +355,17 @@ SQL = {
 (o_orderkey % 4) || '.' || (o_custkey % 11) AS version FROM orders""",
     "manifest_dependencies": """SELECT repository_id, 'pypi' AS ecosystem, arg_max(file_path, file_path) AS source_file, arg_max(name, file_path) AS name, arg_max(installed, file_path) AS installed, 'runtime' AS scope
 FROM (SELECT p_partkey % 50 AS repository_id, 'p' || p_partkey || '/requirements.txt' AS file_path, replace(p_name, ' ', '-') AS name, (p_partkey % 5) || '.' || p_size AS installed FROM part) GROUP BY repository_id, lower(name)""",
+    "dependencies_enriched": """SELECT p_partkey AS part, CASE WHEN p_partkey % 3 > 0 THEN (p_size % 5) || '.1.0' END AS latest, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_size % 9 = 0 AS BIGINT) END AS n_vulnerabilities,
+CASE WHEN p_partkey % 3 = 0 THEN 'unknown' WHEN p_size % 9 = 0 THEN 'vulnerable' WHEN p_partkey % 5 <= p_size % 5 THEN 'outdated' ELSE 'up-to-date' END AS status FROM part""",
+    "advisories": "SELECT p_partkey AS id, CASE WHEN p_size % 11 = 10 THEN 'Critical' WHEN p_size % 11 >= 7 THEN 'High' WHEN p_size % 11 >= 4 THEN 'Moderate' ELSE 'Low' END AS severity, p_brand AS affected, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS fixed FROM part",
+    "patched_files": """SELECT CASE WHEN doc_id % 11 = 0 THEN 'keys/k' || doc_id || '.pem' ELSE 'docs/d' || doc_id END AS file_path,
+CASE WHEN doc_id % 11 = 0 THEN 'protected' WHEN doc_id % 5 = 0 THEN 'conflict' WHEN doc_id % 7 = 0 THEN 'line 2 differs' ELSE 'applied' END AS outcome,
+CASE WHEN doc_id % 11 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN 'head' || chr(10) || 'new ' || doc_id || chr(10) || 'more' || chr(10) || 'end' || chr(10) ELSE 'head' || chr(10) || doc_id || chr(10) || 'end' || chr(10) END AS source_code
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)""",
+    "scanned_files": f"""WITH o AS (SELECT file_id, min({_CLEAN.format(c='file_path')}) AS path, min(source_code) AS source FROM code_chunks WHERE file_id IS NOT NULL AND length(source_code) > 0 GROUP BY file_id)
+SELECT file_id || '/' || path AS file_path, CASE WHEN lower(path) LIKE '%.py' THEN 'python' WHEN regexp_matches(lower(path), '\\.tsx?$') THEN 'typescript' ELSE 'javascript' END AS language, strlen(source) AS n_bytes, sha256(source) AS checksum
+FROM o WHERE regexp_matches(lower(path), '\\.(py|js|jsx|mjs|cjs|ts|tsx)$') AND strlen(source) <= 1048576 AND NOT regexp_matches(path, '(?:^|/)(?:\\.git|\\.hg|\\.svn|\\.venv|venv|node_modules|__pycache__|dist|build|\\.idea)/')
+AND NOT regexp_matches(path, '^/|^[A-Za-z]:|(?:^|/)\\.\\.(?:/|$)')""",
     "formatted_sizes": "SELECT file_id, CASE WHEN n IS NULL THEN 'Not calculated' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS size FROM (SELECT file_id, min(strlen(source_code)) AS n FROM code_chunks WHERE file_id IS NOT NULL GROUP BY file_id)",
     "embeddable_documents": "SELECT doc_id FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0",
     "tree_visible": f"WITH {_OLD}, p AS (SELECT repository_id, string_split(file_path, '/') AS p FROM old WHERE repository_id IS NOT NULL AND file_path IS NOT NULL) SELECT DISTINCT repository_id, array_to_string(p[:k], '/') AS dir, CAST(k AS BIGINT) AS depth FROM (SELECT repository_id, p, unnest(range(1, least(len(p), 3))) AS k FROM p)",

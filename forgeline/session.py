@@ -93,8 +93,14 @@ def read_together(tables: list[DataFrame]) -> DataFrame:
     return _read(tables[0].sparkSession, tables[0].schema, [p for t in tables for p in t.written_to])
 
 
+def materialize_observed(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and named aggregates of the rows, taken in the same job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *measures), name)
+    return out, seen.get
+
+
 def materialize_counted(df: DataFrame, name: str, which: Column | None = None) -> tuple[DataFrame, int]:
     """``materialize`` and the number of rows (of those for which ``which`` holds), taken in the same job."""
-    seen = Observation()
-    out = materialize(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")), name)
-    return out, int(seen.get["n"])
+    out, seen = materialize_observed(df, name, F.count_if(F.lit(True) if which is None else which).alias("n"))
+    return out, int(seen["n"])

@@ -108,3 +108,25 @@ def file_content(files: DataFrame, path: str) -> DataFrame:
     if not row["ok"]:
         raise ValueError(f"not a path inside the repository: {path!r}")
     return files.filter(F.col("file_path") == path.replace("\\", "/"))
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write each ``file_path, source_code`` below ``root`` in tasks, and give ``file_path, n_bytes`` of what was written."""
+    base = _address(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            sizes = []
+            for path, source in zip(batch["file_path"], batch["source_code"]):
+                target = f"{inner.rstrip('/')}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                data = source.encode("utf-8")
+                with system.open_output_stream(target) as f:
+                    f.write(data)
+                sizes.append(len(data))
+            yield pd.DataFrame({"file_path": batch["file_path"], "n_bytes": sizes})
+
+    return files.select("file_path", "source_code").mapInPandas(run, "file_path string, n_bytes long")

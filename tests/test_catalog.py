@@ -130,6 +130,12 @@ def test_sources(spark, tmp_path):
         repository.file_content(plan, "../x")
 
 
+def test_broken_python_keeps_its_healthy_part():
+    source = "import os\n\n@deco\ndef good(a):\n    return a\n\nclass Broken:\n    x = (1,\n\n    def m(self):\n        return 1\n\n    def bad(self):\n        return ]\n\ndef tail():\n    pass\n"
+    assert chunking.chunks_of("python", source) == [("function", "good", None, 3, 5), ("class", "Broken", None, 7, 14), ("method", "m", "Broken", 10, 11), ("method", "bad", "Broken", 13, 14), ("function", "tail", None, 16, 17)]
+    assert chunking.chunks_of("python", "<<<<<<< a\nx = 1\n") is None and chunking.chunks_of("python", "def f(:\n  def g(): pass\n") == [("function", "f", None, 1, 2), ("function", "g", None, 2, 2)]
+
+
 def test_scan_sees_hidden_names_and_prunes(spark, tmp_path):
     for path in ("pkg/__init__.py", "pkg/_util.py", ".hidden.py", "__tests__/a.test.ts", "_private/.deep/x.py", "pkg/build/no.py", "dist/no.py", "a b/ü.py"):
         f = tmp_path / path
