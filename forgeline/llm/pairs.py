@@ -235,6 +235,15 @@ def pair_features(query: str | None, answer: str | None) -> dict[str, float]:
     return _pair(query or "", answer or "")[0]
 
 
+@functools.lru_cache(maxsize=1 << 12)
+def _query_facts(q: str) -> tuple[frozenset[str], str, str | None, str, int, dict[str, float], bool]:
+    """Of a query: its words, itself without marks, the language it asks for, its own one and the lead of that, its
+    scripts, and whether it asks for yet another language."""
+    plain = _CODE.sub(" ", q)
+    language, lead, _ = _language(plain)
+    return frozenset(_words(q)), re.sub(r"\W+", "", q.lower()), _asked(q), language, lead, _scripts(plain), bool(_OTHER_ASKED.search(q))
+
+
 def _pair(q: str, a: str) -> tuple[dict[str, float], str]:
     """The features of a pair, and the language that its answer should have."""
     if not _has_content(a):
@@ -242,9 +251,10 @@ def _pair(q: str, a: str) -> tuple[dict[str, float], str]:
     f = {k: FLAG * x for k, x in tail_flags(a).items()}
     cut = _CUT & f.keys() or any(k.startswith("open_") and ("_long" in k or "_mid" in k and "_path" not in k) for k in f)
     f["cut" if cut else "whole"] = 2 * FLAG
-    qs, words = set(_words(q)), _words(a)
+    qs, asked, wanted, lq, lead_q, in_query, other = _query_facts(q)
+    words = _words(a)
     novel = [w for w in words if w not in qs and w not in FRAME_WORDS]
-    squeezed, asked = re.sub(r"\W+", "", a.lower()), re.sub(r"\W+", "", q.lower())
+    squeezed = re.sub(r"\W+", "", a.lower())
     left = squeezed.replace(asked, "") if asked else squeezed
     f["novel_none"] = float(not novel and len(words) > 2)
     f["novel_share"] = len(novel) / max(1, len(words))
@@ -253,9 +263,7 @@ def _pair(q: str, a: str) -> tuple[dict[str, float], str]:
     f["copy"] = float(bool(f["novel_none"] or f["copy_whole"] or f["copy_part"]))
     f["brief_own"] = FLAG * (len(words) <= 3 and not f["copy"])
     f["copy_then_more"] = float(bool(asked) and asked in squeezed and len(left) > 12 and bool(novel))
-    wanted = _asked(q)
-    plain_q, plain_a = _CODE.sub(" ", q), _CODE.sub(" ", a)
-    lq, lead_q, _ = _language(plain_q)
+    plain_a = _CODE.sub(" ", a)
     la, lead_a, own = _language(plain_a)
     if lead_a > 0 and own > 1 and (wanted or lead_q > 0):
         differs = la != (wanted or lq)
@@ -263,8 +271,8 @@ def _pair(q: str, a: str) -> tuple[dict[str, float], str]:
         f["language_agrees"] = FLAG * (not differs)
     if not _LETTERS.search(plain_a):
         f["code_only"] = FLAG
-    in_answer, in_query = _scripts(plain_a), _scripts(plain_q)
-    if in_query and in_answer and not _OTHER_ASKED.search(q):
+    in_answer = _scripts(plain_a)
+    if in_query and in_answer and not other:
         for k, n in in_answer.items():
             if k != "latin":
                 f[f"script_{k}"] = max(0.0, n - in_query.get(k, 0.0))
